@@ -41,7 +41,7 @@ from latentrec.sources.interactions import (
 K = 3
 ITER_SCORING = 5
 TOL_ITERATIONS = 10
-TOL = 1e-5
+TOL = 5e-5
 SWEEP_KS = [2, 3, 4]
 SWEEP_ITERATIONS = 3
 HIST_BINS = 30

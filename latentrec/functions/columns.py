@@ -58,3 +58,13 @@ def long_form(df, key_cols: list[str], value_cols: list[str], value_name: str):
         *key_cols, F.posexplode(F.array(*[F.col(c) for c in value_cols])).alias("z", value_name)
     )
     return exploded.withColumn("z", F.col("z").cast("bigint"))
+
+
+def sql_sum(cols: list[str]) -> str:
+    """SQL text for the sum of K columns of one row."""
+    return "(" + " + ".join(cols) + ")"
+
+
+def dlit(x: float) -> str:
+    """SQL text for an exact double literal (shortest round-trip repr)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"

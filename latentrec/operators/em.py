@@ -1,25 +1,30 @@
 """EM building blocks in the wide layout (one row per pair, K class columns).
 
-M-step sums  N(s,z) = sum_u q,  N(u,z) = sum_s q  are one grouping-sets
-aggregate over (user) and (item): a single scan, one shuffle of partially
-aggregated rows. N(z) and N(u) are then sums over K-wide rows of that small
-result. The E-step is pure row arithmetic once a pair row carries p(z|u) and
+M-step sums  N(s,z) = sum_u q,  N(u,z) = sum_s q  and  N(z) = sum q  come from
+one grouping-sets aggregate over (user), (item) and () : a single scan and one
+shuffle of partially aggregated rows. N(u) is the sum of a user row's K
+columns. The E-step is row arithmetic once a pair row carries p(z|u) and
 p(s|z):
 
     prod_z = p(z|u) * p(s|z),   p(s|u) = sum_z prod_z,   q_z = prod_z / p(s|u)
+
+Expressions are written as SQL text and handed over in one call per
+projection: with K columns, building them as Column objects costs thousands
+of driver-JVM round trips per iteration for no change in the plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentrec.functions.columns import ITEM, USER, class_cols, row_sum, safe_div, safe_ln
+from latentrec.functions.columns import ITEM, USER, dlit, sql_sum
 
-# grouping_id() of groupingSets([[user], [item]], user, item):
-# bit 0 set -> item aggregated away (a user row); bit 1 set -> a item row.
+# grouping_id() of groupingSets([[user], [item], []], user, item): bit 1 is
+# user_id, bit 0 is item_id; a set bit means "aggregated away".
 USER_ROW = 1
 ITEM_ROW = 2
+TOTAL_ROW = 3
 
 Q = "q_"  # posterior q(z|u,s)
 PU = "pu_"  # p(z|u)
@@ -27,83 +32,85 @@ PI = "pi_"  # p(s|z)
 N = "n_"  # class mass sums N(.,z)
 
 
-def e_step_columns(k: int) -> tuple[list[Column], Column, Column]:
-    """Expressions for the products, p(s|u) and log p(s|u) of a joined row."""
-    products = [F.col(f"{PU}{z}") * F.col(f"{PI}{z}") for z in range(k)]
-    psu = products[0]
-    for p in products[1:]:
-        psu = psu + p
-    return products, psu, safe_ln(psu)
+def names(prefix: str, k: int) -> list[str]:
+    return [f"{prefix}{z}" for z in range(k)]
+
+
+def product_sql(k: int) -> list[str]:
+    """``p(z|u) * p(s|z)`` for each class, as SQL text."""
+    return [f"{PU}{z} * {PI}{z}" for z in range(k)]
+
+
+def psu_sql(k: int) -> str:
+    """p(s|u) = sum_z p(z|u) p(s|z), as SQL text."""
+    return " + ".join(f"({p})" for p in product_sql(k))
+
+
+def ln_sql(x: str) -> str:
+    """ln(x) for x > 0, else null (Spark's ln(0) is null, not -inf: callers count)."""
+    return f"CASE WHEN {x} > 0 THEN ln({x}) END"
 
 
 def e_step(joined: DataFrame, k: int, keep: list[str]) -> DataFrame:
     """Add ``q_z``, ``psu`` and ``ll`` to rows that carry ``pu_z`` and ``pi_z``."""
-    products, psu, _ = e_step_columns(k)
-    with_prod = joined.select(
-        *keep, *[p.alias(f"_p{z}") for z, p in enumerate(products)]
-    ).withColumn("psu", row_sum(class_cols("_p", k)))
-    return with_prod.select(
+    prods = joined.selectExpr(*keep, *[f"{p} AS _p{z}" for z, p in enumerate(product_sql(k))])
+    return prods.selectExpr(
         *keep,
-        *[safe_div(F.col(f"_p{z}"), F.col("psu")).alias(f"{Q}{z}") for z in range(k)],
-        "psu",
-        safe_ln(F.col("psu")).alias("ll"),
+        *[f"try_divide(_p{z}, {sql_sum(names('_p', k))}) AS {Q}{z}" for z in range(k)],
+        f"{sql_sum(names('_p', k))} AS psu",
+        f"{ln_sql(sql_sum(names('_p', k)))} AS ll",
     )
 
 
 def m_step_sums(posterior: DataFrame, k: int) -> DataFrame:
-    """Class mass per user and per item in one pass.
-
-    Output rows: ``(user_id, item_id, gid, n_0..n_{K-1}, ll, n_ll, n_pairs)``.
-    User rows (gid=1) hold N(u,z) plus the log-likelihood of the pairs of that
-    user; item rows (gid=2) hold N(s,z). Partial aggregation runs map-side, so
-    a user or item owning a third of all pairs still sends at most one row per
-    map task through the shuffle.
+    """Class mass per user, per item and in total, in one pass.
+
+    Output rows: ``(user_id, item_id, n_0..n_{K-1}, ll, n_ll, n_pairs, gid)``.
+    User rows (gid=1) hold N(u,z) and the log-likelihood of that user's pairs;
+    item rows (gid=2) hold N(s,z); the single total row (gid=3) holds N(z) and
+    the total log-likelihood. Partial aggregation runs map-side, so a user or
+    item owning a third of all pairs still sends at most one row per map task
+    through the shuffle.
     """
-    has_ll = "ll" in posterior.columns
-    ll = F.col("ll") if has_ll else F.lit(None).cast("double")
-    return posterior.groupingSets([[USER], [ITEM]], USER, ITEM).agg(
-        *[F.sum(f"{Q}{z}").alias(f"{N}{z}") for z in range(k)],
-        F.sum(ll).alias("ll"),
-        F.count(ll).alias("n_ll"),
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.grouping_id().alias("gid"),
+    ll = "ll" if "ll" in posterior.columns else "CAST(NULL AS DOUBLE)"
+    return posterior.groupingSets([[USER], [ITEM], []], USER, ITEM).agg(
+        *[F.expr(f"sum({Q}{z}) AS {N}{z}") for z in range(k)],
+        F.expr(f"sum({ll}) AS ll"),
+        F.expr(f"count({ll}) AS n_ll"),
+        F.expr("count(1) AS n_pairs"),
+        F.expr("grouping_id() AS gid"),
     )
 
 
 def user_factors(state: DataFrame, k: int) -> DataFrame:
     """p(z|u) = N(u,z) / N(u), with N(u) = sum_z N(u,z); one row per user."""
-    n_u = row_sum(class_cols(N, k))
-    return state.where(F.col("gid") == USER_ROW).select(
-        USER, *[safe_div(F.col(f"{N}{z}"), n_u).alias(f"{PU}{z}") for z in range(k)]
+    n_u = sql_sum(names(N, k))
+    return state.where(f"gid = {USER_ROW}").selectExpr(
+        USER, *[f"try_divide({N}{z}, {n_u}) AS {PU}{z}" for z in range(k)]
     )
 
 
 def item_factors(state: DataFrame, k: int, class_mass: list[float]) -> DataFrame:
     """p(s|z) = N(s,z) / N(z); N(z) is K numbers already summed by Spark."""
-    return state.where(F.col("gid") == ITEM_ROW).select(
-        ITEM,
-        *[safe_div(F.col(f"{N}{z}"), F.lit(float(class_mass[z]))).alias(f"{PI}{z}") for z in range(k)],
+    return state.where(f"gid = {ITEM_ROW}").selectExpr(
+        ITEM, *[f"try_divide({N}{z}, {dlit(class_mass[z])}) AS {PI}{z}" for z in range(k)]
     )
 
 
-def state_summary(state: DataFrame, k: int) -> DataFrame:
-    """One row: N(z) for every z (from item rows), total log-likelihood and counts.
+def state_summary(state: DataFrame):
+    """The total row: N(z) for every z, total log-likelihood, counts.
 
-    Reads only the small state table (users + items rows).
+    ``collect`` of the single matching row is one job; ``first`` would scan
+    partitions in growing batches.
     """
-    is_item = F.col("gid") == ITEM_ROW
-    is_user = F.col("gid") == USER_ROW
-    return state.agg(
-        *[F.sum(F.when(is_item, F.col(f"{N}{z}"))).alias(f"{N}{z}") for z in range(k)],
-        F.sum(F.when(is_user, F.col("ll"))).alias("ll"),
-        F.sum(F.when(is_user, F.col("n_ll"))).alias("n_ll"),
-        F.sum(F.when(is_user, F.col("n_pairs"))).alias("n_pairs"),
-    )
+    return state.where(f"gid = {TOTAL_ROW}").collect()[0]
 
 
-def loglik_only(joined: DataFrame, k: int) -> DataFrame:
+def loglik_only(joined: DataFrame, k: int):
     """Global log-likelihood of rows carrying ``pu_z`` / ``pi_z`` (no M-step)."""
-    _, psu, ll = e_step_columns(k)
-    return joined.select(ll.alias("ll")).agg(
-        F.sum("ll").alias("ll"), F.count("ll").alias("n_ll"), F.count(F.lit(1)).alias("n_pairs")
+    return (
+        joined.selectExpr(f"{psu_sql(k)} AS psu")
+        .selectExpr(f"{ln_sql('psu')} AS ll")
+        .agg(F.expr("sum(ll) AS ll"), F.expr("count(ll) AS n_ll"), F.expr("count(1) AS n_pairs"))
+        .first()
     )

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentrec.functions.columns import ITEM, USER, class_cols, long_form, row_sum
+from latentrec.functions.columns import ITEM, USER, class_cols, dlit, long_form
 from latentrec.operators import em
 from latentrec.operators.indexing import dense_index
 from latentrec.plans.layout import DEFAULT_BROADCAST_LIMIT, factor_row_bytes
@@ -64,27 +64,25 @@ def _factor_grid(model, broadcast_limit: int) -> DataFrame:
 
 def score_pairs(model, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """``(user_id, item_id, score)`` with score = p(s|u) = sum_z p(z|u) p(s|z)."""
-    _, psu, _ = em.e_step_columns(model.k)
-    return _factor_grid(model, broadcast_limit).select(USER, ITEM, psu.alias("score"))
+    return _factor_grid(model, broadcast_limit).selectExpr(USER, ITEM, f"{em.psu_sql(model.k)} AS score")
 
 
 def score_components(model, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """``(user_id, item_id, z, score)`` with score = p(z|u) p(s|z), one row per class."""
-    products, _, _ = em.e_step_columns(model.k)
-    g = _factor_grid(model, broadcast_limit).select(
-        USER, ITEM, *[p.alias(f"_c{z}") for z, p in enumerate(products)]
+    g = _factor_grid(model, broadcast_limit).selectExpr(
+        USER, ITEM, *[f"{p} AS _c{z}" for z, p in enumerate(em.product_sql(model.k))]
     )
     return long_form(g, [USER, ITEM], class_cols("_c", model.k), "score")
 
 
 def score_known_pairs(model, pairs: DataFrame) -> DataFrame:
     """Scores of given ``(user_id, item_id)`` rows (equi-joins, no grid)."""
-    _, psu, _ = em.e_step_columns(model.k)
     users, items = model.user_factors(), model.item_factors()
     lay = model.layout
     u = F.broadcast(users) if lay.broadcast_users else users
     i = F.broadcast(items) if lay.broadcast_items else items
-    return pairs.select(USER, ITEM).join(u, USER).join(i, ITEM).select(USER, ITEM, psu.alias("score"))
+    joined = pairs.select(USER, ITEM).join(u, USER).join(i, ITEM)
+    return joined.selectExpr(USER, ITEM, f"{em.psu_sql(model.k)} AS score")
 
 
 def joint_probability(model, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
@@ -95,12 +93,13 @@ def joint_probability(model, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) ->
     """
     k = model.k
     total = float(sum(model.class_mass))
-    user_rows = model.state.where(F.col("gid") == em.USER_ROW).select(
-        USER, *[(F.col(f"{em.N}{z}") / F.lit(total)).alias(f"{em.PU}{z}") for z in range(k)]
+    user_rows = model.state.where(F.col("gid") == em.USER_ROW).selectExpr(
+        USER, *[f"{em.N}{z} / {dlit(total)} AS {em.PU}{z}" for z in range(k)]
     )
-    g = all_items_for_each_user(user_rows, model.item_factors(), model.layout.n_items, broadcast_limit, factor_row_bytes(k))
-    _, s, _ = em.e_step_columns(k)
-    return g.select(USER, ITEM, s.alias("p_joint"))
+    g = all_items_for_each_user(
+        user_rows, model.item_factors(), model.layout.n_items, broadcast_limit, factor_row_bytes(k)
+    )
+    return g.selectExpr(USER, ITEM, f"{em.psu_sql(k)} AS p_joint")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:

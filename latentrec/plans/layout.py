@@ -46,17 +46,13 @@ def factor_row_bytes(k: int) -> int:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint that computes the plan once.
+    """Reliable checkpoint into the shared checkpoint folder.
 
-    A reliable checkpoint writes in a second job; persisting first makes that
-    job read the cached blocks instead of re-running the plan.
+    An eager ``Dataset.checkpoint`` computes each partition once and writes it
+    in the same job, so no cache is needed in front of it.
     """
     checkpoint_dir(df.sparkSession)
-    df.persist()
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    return df.checkpoint(eager=True)
 
 
 @dataclass

@@ -81,10 +81,9 @@ class PlsiModel:
         return rows.select(USER, row_sum(class_cols(em.N, self.k)).alias("n"))
 
     def class_mass_table(self) -> DataFrame:
-        """``(z, n)``: N(z), summed by Spark over the item rows of the state."""
-        rows = self.state.where(F.col("gid") == em.ITEM_ROW)
-        sums = rows.agg(*[F.sum(c).alias(c) for c in class_cols(em.N, self.k)])
-        return long_form(sums, [], class_cols(em.N, self.k), "n")
+        """``(z, n)``: N(z), the total row of the M-step sums."""
+        rows = self.state.where(F.col("gid") == em.TOTAL_ROW)
+        return long_form(rows, [], class_cols(em.N, self.k), "n")
 
     # ---- E-step outputs on the training pairs ------------------------------
     def _joined(self) -> DataFrame:
@@ -109,8 +108,7 @@ class PlsiModel:
 
     def pair_likelihood(self) -> DataFrame:
         """``(user_id, item_id, psu)`` with psu = p(s|u) = sum_z p(z|u) p(s|z)."""
-        _, psu, _ = em.e_step_columns(self.k)
-        return self._joined().select(USER, ITEM, psu.alias("psu"))
+        return self._joined().selectExpr(USER, ITEM, f"{em.psu_sql(self.k)} AS psu")
 
     def posterior(self) -> DataFrame:
         """Next posterior ``(user_id, item_id, z, q)`` from the fitted parameters."""
@@ -177,7 +175,7 @@ def fit(
         ).select(USER, ITEM, *qcols)
 
     state = cut_lineage(em.m_step_sums(start, k))
-    summary = em.state_summary(state, k).first()
+    summary = em.state_summary(state)
     class_mass = [float(summary[f"{em.N}{z}"] or 0.0) for z in range(k)]
 
     history: list[tuple] = []
@@ -188,10 +186,10 @@ def fit(
         if t < n_iter:
             posterior = em.e_step(joined, k, keep=[USER, ITEM])
             next_state = cut_lineage(em.m_step_sums(posterior, k))
-            s = em.state_summary(next_state, k).first()
+            s = em.state_summary(next_state)
             history.append(_history_row(k, t, s["ll"], s["n_ll"], s["n_pairs"]))
         else:
-            s = em.loglik_only(joined, k).first()
+            s = em.loglik_only(joined, k)
             history.append(_history_row(k, t, s["ll"], s["n_ll"], s["n_pairs"]))
             next_state = None
         if tol is not None and t >= 2 and _gain(history) <= tol:
