@@ -112,5 +112,5 @@ def loglik_only(joined: DataFrame, k: int):
         joined.selectExpr(f"{psu_sql(k)} AS psu")
         .selectExpr(f"{ln_sql('psu')} AS ll")
         .agg(F.expr("sum(ll) AS ll"), F.expr("count(ll) AS n_ll"), F.expr("count(1) AS n_pairs"))
-        .first()
+        .collect()[0]
     )

@@ -2,8 +2,8 @@
 
 Spark has no distributed ``zipWithIndex`` for DataFrames and a global
 ``dense_rank()`` window pulls every row into one task. Instead: range
-partition the distinct values, sort inside each partition, tag rows with their
-partition id and position, and add the size of all earlier partitions. Only the
+partition the rows, sort inside each partition, tag rows with their partition
+id and position, and add the size of all earlier partitions. Only the
 per-partition counts (one row per partition) are combined in one place.
 """
 
@@ -12,20 +12,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latentrec.session import checkpoint_dir
 
-def dense_index(values: DataFrame, col: str, name: str = "idx", partitions: int | None = None) -> DataFrame:
-    """Return ``(col, name BIGINT)`` with ``name`` = dense rank of ``col`` (1..n).
 
-    The tags come from nondeterministic expressions, so the tagged table is cut
-    with a reliable checkpoint before use: a recomputation after a lost
-    executor can then never hand out different numbers.
+def dense_index(
+    rows: DataFrame, col: str, name: str = "idx", partitions: int | None = None, distinct: bool = True
+) -> DataFrame:
+    """Return ``rows`` plus ``name BIGINT`` = dense rank of ``col`` (1..n).
+
+    With ``distinct=True`` only ``col`` is kept and duplicates are dropped;
+    with ``distinct=False`` every column is kept and ``col`` must already be
+    unique (e.g. one parameter row per item). The tags come from
+    nondeterministic expressions, so both the tagged rows and the result are
+    cut with reliable checkpoints: a recomputation after a lost executor can
+    never hand out different numbers, and later actions read the index
+    instead of rebuilding it.
     """
-    spark = values.sparkSession
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = values.select(col).where(F.col(col).isNotNull()).distinct()
-    ranged = keys.repartitionByRange(n_part, col).sortWithinPartitions(col)
+    base = rows.where(F.col(col).isNotNull())
+    if distinct:
+        base = base.select(col).distinct()
+    cols = base.columns
+    ranged = base.repartitionByRange(n_part, col).sortWithinPartitions(col)
     tagged = ranged.select(
-        col,
+        *cols,
         F.spark_partition_id().alias("_pid"),
         F.monotonically_increasing_id().alias("_mid"),
     ).checkpoint(eager=True)
@@ -35,6 +47,7 @@ def dense_index(values: DataFrame, col: str, name: str = "idx", partitions: int
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     # monotonically_increasing_id puts the partition id in the upper 31 bits.
     position = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return tagged.join(F.broadcast(offsets), "_pid").select(
-        col, (F.col("_off") + position + F.lit(1)).cast("bigint").alias(name)
+    indexed = tagged.join(F.broadcast(offsets), "_pid").select(
+        *cols, (F.col("_off") + position + F.lit(1)).cast("bigint").alias(name)
     )
+    return indexed.checkpoint(eager=True)

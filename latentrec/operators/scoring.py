@@ -30,12 +30,15 @@ def all_items_for_each_user(
     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
     row_bytes: int = 32,
 ) -> DataFrame:
-    """Every ``users`` row combined with every ``items`` row (keys ``user_id``,
-    ``item_id`` must be unique on their side)."""
-    index = dense_index(items, ITEM, IX)
-    indexed = items.join(index, ITEM)
+    """Every ``users`` row combined with every ``items`` row.
+
+    ``item_id`` must be unique in ``items``. The indexed item table is built
+    once and checkpointed, so each later action on the result is a single
+    stage: scan users, explode, probe the broadcast item table.
+    """
+    indexed = dense_index(items, ITEM, IX, distinct=False)
     if n_items is None:
-        n_items = index.count()
+        n_items = indexed.count()
     if n_items == 0:  # sequence(1, 0) would count down, so stop here
         expanded = users.select("*", F.lit(None).cast("bigint").alias(IX)).where(F.lit(False))
     else:

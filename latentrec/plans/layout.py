@@ -6,9 +6,10 @@ once, from exact counts:
 
 * a parameter side is **broadcast** only when ``rows x (K+2) x 8`` bytes is
   under ``broadcast_limit``; the counts come from the data, not guesses;
-* when the user side is too big, the pairs are **hash partitioned by user**
-  and checkpointed with that partitioning, so every iteration's join with
-  p(z|u) shuffles only the parameter table, never the pairs;
+* when the user side is too big, the pairs are written once as a table
+  **bucketed by user** (parquet, under ``spark.checkpoint.dir``), so every
+  iteration's join with p(z|u) shuffles only the parameter table into the
+  same hash buckets, never the pairs;
 * keys holding more than one partition's worth of pairs are **salted**: their
   pairs are spread over ``ceil(deg / target)`` sub-keys and their parameter
   row is replicated that many times. At most ``partitions`` keys can be hot,
@@ -18,6 +19,7 @@ once, from exact counts:
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from pyspark.sql.types import IntegralType
 from latentrec.functions.columns import ITEM, USER
 from latentrec.operators.em import ITEM_ROW, USER_ROW
 from latentrec.operators.indexing import dense_index
-from latentrec.session import adaptive_disabled, checkpoint_dir
+from latentrec.session import checkpoint_dir
 
 # Defaults sized for executors with a few GB each: a broadcast side of at most
 # 64 MiB, pair partitions of ~2M rows (two ids plus K doubles in flight).
@@ -103,12 +105,38 @@ def _replicate_hot(factors: DataFrame, salts: DataFrame | None, key: str, salt:
     """Give every parameter row one copy per sub-key of its (hot) key."""
     if salts is None:
         return factors
-    copies = F.coalesce(F.col("_n"), F.lit(1))
+    last = F.coalesce(F.col("_n"), F.lit(1)).cast("bigint") - 1
     return factors.join(F.broadcast(salts), key, "left").select(
-        *factors.columns, F.explode(F.sequence(F.lit(0), copies - 1)).alias(salt)
+        *factors.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias(salt)
     )
 
 
+def store_pairs(laid: DataFrame, parts: int, bucket_keys: list[str] | None) -> DataFrame:
+    """Write the laid-out pairs once under the checkpoint folder and read them back.
+
+    With ``bucket_keys`` the table is bucketed into ``parts`` buckets, which
+    the planner treats as hash partitioning on those keys: joins and
+    aggregations on them need no exchange on this side. Each task writes one
+    bucket (the repartition uses the same hash), so there are ``parts`` files.
+    Without keys it is plain parquet, spread evenly over ``parts`` files.
+    """
+    spark = laid.sparkSession
+    tag = uuid.uuid4().hex
+    path = f"{checkpoint_dir(spark).rstrip('/')}/latentrec-pairs-{tag}"
+    if bucket_keys:
+        name = f"latentrec_pairs_{tag}"
+        (
+            laid.repartition(parts, *bucket_keys)
+            .write.bucketBy(parts, *bucket_keys)
+            .option("path", path)
+            .format("parquet")
+            .saveAsTable(name)
+        )
+        return spark.table(name)
+    laid.repartition(parts, USER, ITEM).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _hot_keys(degrees: DataFrame, gid: int, key: str, target: int) -> DataFrame:
     """Keys with more than ``target`` pairs and their number of sub-keys (< P rows)."""
     hot = degrees.where((F.col("gid") == gid) & (F.col("deg") > target)).select(
@@ -159,14 +187,14 @@ def plan_layout(
         user_salts = _hot_keys(degrees, USER_ROW, USER, target)
         laid = laid.join(F.broadcast(user_salts), USER, "left").select(
             USER, ITEM,
-            F.when(F.col("_n") > 1, F.pmod(F.xxhash64(ITEM), F.col("_n"))).otherwise(0).alias(USER_SALT),
+            F.when(F.col("_n") > 1, F.pmod(F.xxhash64(ITEM), F.col("_n"))).otherwise(0).cast("bigint").alias(USER_SALT),
         )
         user_keys = [USER, USER_SALT]
     if not bcast_i and (s["max_i"] or 0) > target:
         item_salts = _hot_keys(degrees, ITEM_ROW, ITEM, target)
         laid = laid.join(F.broadcast(item_salts), ITEM, "left").select(
             *[c for c in laid.columns],
-            F.when(F.col("_n") > 1, F.pmod(F.xxhash64(USER), F.col("_n"))).otherwise(0).alias(ITEM_SALT),
+            F.when(F.col("_n") > 1, F.pmod(F.xxhash64(USER), F.col("_n"))).otherwise(0).cast("bigint").alias(ITEM_SALT),
         )
         item_keys = [ITEM, ITEM_SALT]
 
@@ -175,13 +203,9 @@ def plan_layout(
         laid = _with_ranks(laid, pairs)
         user_rank, item_rank = USER_RANK, ITEM_RANK
 
-    if not bcast_u:
-        # Co-locate pairs with their user's parameter row for every iteration.
-        laid = laid.repartition(parts, *user_keys)
-    else:
-        laid = laid.repartition(parts, USER, ITEM)
-    with adaptive_disabled(spark):
-        laid = cut_lineage(laid)
+    # Co-locate pairs with their user's parameter row for every iteration when
+    # that row cannot be broadcast; otherwise just spread the pairs evenly.
+    laid = store_pairs(laid, parts, None if bcast_u else user_keys)
     return PairLayout(
         pairs=laid,
         n_pairs=n_pairs,

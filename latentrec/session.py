@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.sql import SparkSession
 
 
@@ -28,23 +26,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-@contextlib.contextmanager
-def adaptive_disabled(spark: SparkSession):
-    """Run a block with AQE off.
-
-    Used only around the one-time checkpoint of the pair layout: with AQE on,
-    ``Dataset.checkpoint`` records ``UnknownPartitioning`` and the hash
-    partitioning we paid a shuffle for would be forgotten by every later plan.
-    """
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def local_session(checkpoint: str, cores: int = 8, shuffle_partitions: int = 8, app: str = "latentrec"):
     """Local session used by tests and the benchmark (never on a cluster)."""
     spark = (
