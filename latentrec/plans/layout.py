@@ -47,14 +47,38 @@ def factor_row_bytes(k: int) -> int:
     return 8 * (k + 4)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+def cut_lineage(df: DataFrame, name: str = "state") -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder, read it back.
+
+    One job computes and writes each partition once; the result is a plain
+    file scan, so the next plan starts from it and a lost executor only costs
+    re-reading files. A parquet table is used rather than ``Dataset.checkpoint``
+    because a checkpoint keeps the size estimate of the plan it replaces: in a
+    loop that joins its own output, those estimates multiply every iteration
+    until planning itself stalls. A file scan is sized by its files.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/latentrec-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def drop_written(df: DataFrame | None) -> None:
+    """Delete the folder behind a table written by ``cut_lineage``.
 
-    An eager ``Dataset.checkpoint`` computes each partition once and writes it
-    in the same job, so no cache is needed in front of it.
+    Used for iteration states that a newer state has replaced, so a long fit
+    leaves one state behind, not one per iteration.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if df is None:
+        return
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for f in df.inputFiles():
+        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        if "latentrec-" in folder.getName():
+            folder.getFileSystem(conf).delete(folder, True)
+            return
 
 
 @dataclass
@@ -142,7 +166,7 @@ def _hot_keys(degrees: DataFrame, gid: int, key: str, target: int) -> DataFrame:
     hot = degrees.where((F.col("gid") == gid) & (F.col("deg") > target)).select(
         key, F.ceil(F.col("deg") / F.lit(target)).cast("int").alias("_n")
     )
-    return cut_lineage(hot)
+    return cut_lineage(hot, "hotkeys")
 
 
 def plan_layout(

@@ -27,6 +27,7 @@ from latentrec.plans.layout import (
     DEFAULT_ROWS_PER_PARTITION,
     PairLayout,
     cut_lineage,
+    drop_written,
     ids_are_integral,
     plan_layout,
 )
@@ -193,8 +194,10 @@ def fit(
             history.append(_history_row(k, t, s["ll"], s["n_ll"], s["n_pairs"]))
             next_state = None
         if tol is not None and t >= 2 and _gain(history) <= tol:
+            drop_written(next_state)
             break
         if next_state is not None:
+            drop_written(state)
             state = next_state
             class_mass = [float(s[f"{em.N}{z}"] or 0.0) for z in range(k)]
     return PlsiModel(k=k, layout=layout, state=state, class_mass=class_mass, history_rows=history)
