@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -407,7 +406,3 @@ ORACLE_SQL: dict[str, str] = {
         2, _hist_body(), extra=[oracle.history_cte(K, 2)], source="customer_part"
     ),
 }
-
-
-def _union(dfs):
-    return reduce(lambda a, b: a.unionByName(b), dfs)

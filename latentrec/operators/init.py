@@ -42,8 +42,8 @@ def hashed_weights(k: int, seed: int, user: Column, item: Column) -> list[Column
     return [unit_uniform(seed, user, item, F.lit(z)) + F.lit(_TINY) for z in range(k)]
 
 
-def posterior_columns(weights: list[Column], prefix: str = "q_") -> list[Column]:
-    """Normalise K weight expressions so that they sum to 1 per row."""
+def posterior_columns(weights: list[Column], prefix: str = "q_") -> tuple[list[str], list[Column]]:
+    """Names for K weight columns and the expressions normalising them to sum 1."""
     k = len(weights)
     names = class_cols("_w", k)
     total = row_sum(names)

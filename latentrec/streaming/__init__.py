@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The recommender this package re-expresses is a batch job (read interactions,
+fit, score, flag, write). It has no streaming source, sink or stateful
+operator, so nothing is implemented here; the batch readers in
+``latentrec.sources`` take any file set Spark can list.
+"""
