@@ -1,12 +1,21 @@
 """Exact quantile with linear interpolation, without gathering the column.
 
 ``percentile`` (exact) keeps every distinct value in one aggregation buffer,
-i.e. one task holds the whole column. Here the exact order statistic is found
-by narrowing: a mergeable ``percentile_approx`` sketch brackets the wanted rank,
-one counting pass checks the bracket and gives the rank offset, and the
-search continues on the values inside the bracket only. Each round shrinks the
-candidates by about ``accuracy / 4``; once at most ``max_candidates`` remain
-(a fixed bound), the value is read with a bounded top-n sort.
+i.e. one task holds the whole column. Here the exact order statistics are
+found by narrowing:
+
+1. one pass counts the values and takes a mergeable ``percentile_approx``
+   sketch bracket [a, b] around the wanted rank;
+2. one pass counts values below / at a and b (and the next value above each),
+   which either identifies the answer or the rank offset of the values
+   strictly inside the bracket;
+3. the search continues on those values only; once at most ``max_candidates``
+   remain (a fixed bound), a bounded top-n sort reads the two order
+   statistics around the rank.
+
+Each round shrinks the candidates by about ``accuracy / 4``, so a column of
+10^12 values needs two or three rounds, and every round is a pass of
+partial aggregates: nothing but a handful of numbers reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,44 +31,51 @@ DEFAULT_MAX_CANDIDATES = 1_000_000
 _X = "_x"
 
 
-def _kth_smallest(
-    x: DataFrame, rank: int, size: int, accuracy: int, max_candidates: int
-) -> tuple[float, int]:
-    """Value of 0-based ``rank`` in ascending order, and count of values <= it."""
-    lower = upper = None  # open bounds of the current candidate set
-    below = 0  # number of values <= lower (all outside the candidate set)
-    cur, m, r = x, size, rank
+def _bracket(p: float, accuracy: int) -> list[float]:
+    spread = 2.0 / accuracy
+    return [min(1.0, max(0.0, p - spread)), min(1.0, max(0.0, p + spread))]
+
+
+def _order_stats(
+    x: DataFrame, r: int, n: int, first: tuple[float, float], accuracy: int, max_candidates: int
+) -> tuple[float, float | None]:
+    """Values of 0-based ranks ``r`` and ``r + 1`` (the second is None past the end)."""
+    lower = upper = None  # open bounds of the candidate set
+    cur, m = x, n  # candidates and their count; r is relative to them
+    a, b = first
     while True:
         if m <= max_candidates:
-            v = cur.orderBy(_X).offset(r).limit(1).first()[0]
-            le = x.where(F.col(_X) <= F.lit(v)).count()
-            return v, le
-        spread = 2.0 / accuracy
-        pa = min(1.0, max(0.0, (r + 1) / m - spread))
-        pb = min(1.0, max(0.0, (r + 1) / m + spread))
-        a, b = cur.agg(F.percentile_approx(_X, [pa, pb], accuracy)).first()[0]
+            vals = [row[0] for row in cur.orderBy(_X).offset(r).limit(2).collect()]
+            nxt = vals[1] if len(vals) > 1 else upper
+            return vals[0], nxt
+        if a is None:
+            a, b = cur.agg(F.percentile_approx(_X, _bracket((r + 0.5) / m, accuracy), accuracy)).first()[0]
+        xc = F.col(_X)
         c = cur.agg(
-            F.count(F.when(F.col(_X) < a, 1)).alias("lt_a"),
-            F.count(F.when(F.col(_X) <= a, 1)).alias("le_a"),
-            F.count(F.when(F.col(_X) < b, 1)).alias("lt_b"),
-            F.count(F.when(F.col(_X) <= b, 1)).alias("le_b"),
+            F.count(F.when(xc < a, 1)).alias("lt_a"),
+            F.count(F.when(xc <= a, 1)).alias("le_a"),
+            F.count(F.when(xc < b, 1)).alias("lt_b"),
+            F.count(F.when(xc <= b, 1)).alias("le_b"),
+            F.min(F.when(xc > a, xc)).alias("after_a"),
+            F.min(F.when(xc > b, xc)).alias("after_b"),
         ).first()
         if c.lt_a <= r < c.le_a:
-            return a, below + c.le_a
+            return a, (a if r + 1 < c.le_a else (c.after_a if c.after_a is not None else upper))
         if c.lt_b <= r < c.le_b:
-            return b, below + c.le_b
-        if r < c.lt_a:  # sketch overshot: keep only values below a
+            return b, (b if r + 1 < c.le_b else (c.after_b if c.after_b is not None else upper))
+        if r < c.lt_a:  # the sketch overshot: keep values below a
             upper, m = a, c.lt_a
-        elif r >= c.le_b:  # undershot: keep only values above b
-            lower, below, r, m = b, below + c.le_b, r - c.le_b, m - c.le_b
+        elif r >= c.le_b:  # undershot: keep values above b
+            lower, r, m = b, r - c.le_b, m - c.le_b
         else:  # strictly between a and b
-            lower, upper, below, r, m = a, b, below + c.le_a, r - c.le_a, c.lt_b - c.le_a
+            lower, upper, r, m = a, b, r - c.le_a, c.lt_b - c.le_a
         cond = F.lit(True)
         if lower is not None:
             cond = cond & (F.col(_X) > F.lit(lower))
         if upper is not None:
             cond = cond & (F.col(_X) < F.lit(upper))
         cur = x.where(cond)
+        a = b = None
 
 
 def exact_quantile(
@@ -74,19 +90,16 @@ def exact_quantile(
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be within [0, 1]")
     x = df.select(F.col(col).cast("double").alias(_X)).where(F.col(_X).isNotNull())
-    n = x.count()
+    first = x.agg(F.count(F.lit(1)), F.percentile_approx(_X, _bracket(p, accuracy), accuracy)).first()
+    n = first[0]
     if n == 0:
         return None
     h = (n - 1) * p
     lo = math.floor(h)
-    v_lo, le = _kth_smallest(x, lo, n, accuracy, max_candidates)
+    v_lo, v_hi = _order_stats(x, lo, n, tuple(first[1]), accuracy, max_candidates)
     frac = h - lo
     if frac == 0:
         return v_lo
-    if le > lo + 1:  # the next order statistic is a tie of v_lo
-        v_hi = v_lo
-    else:
-        v_hi = x.where(F.col(_X) > F.lit(v_lo)).agg(F.min(_X)).first()[0]
     return v_lo + frac * (v_hi - v_lo)
 
 

@@ -60,7 +60,8 @@ def cut_lineage(df: DataFrame, name: str = "state") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/latentrec-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: reading it back needs no footer inference
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame | None) -> None:

@@ -60,3 +60,15 @@ def test_dense_index_is_sorted_rank(spark):
     idx = {r.item_id: r.idx for r in dense_index(df, "item_id", "idx").collect()}
     expected = {w: i + 1 for i, w in enumerate(sorted(set(words)))}
     assert idx == expected
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_exact_quantile_random_ties_and_bounds(spark, seed):
+    """Heavy ties, random p and tiny sketch settings: every branch of the
+    narrowing (overshoot, undershoot, inside, tie at a bracket end)."""
+    rng = np.random.default_rng(seed)
+    v = np.concatenate([rng.integers(0, 40, 700).astype(float), rng.normal(20, 8, 700)])
+    df = spark.createDataFrame([(float(x),) for x in v], "score double").repartition(5)
+    for p in rng.uniform(0, 1, 3).tolist() + [0.5]:
+        got = exact_quantile(df, "score", p, accuracy=8, max_candidates=30)
+        assert got == pytest.approx(float(np.quantile(v, p)), rel=1e-12, abs=1e-12)
