@@ -198,11 +198,17 @@ def plan_layout(
     ).first()
     n_pairs = int(s["n_pairs"] or 0)
     n_users, n_items = int(s["n_users"]), int(s["n_items"])
-    shuffle_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffle_parts, math.ceil(n_pairs / rows_per_partition))
     row_bytes = factor_row_bytes(k)
     bcast_u = n_users * row_bytes <= broadcast_limit
     bcast_i = n_items * row_bytes <= broadcast_limit
+    # Bucketed pairs are only reused by a join whose other side is shuffled
+    # into as many partitions, so they need at least the shuffle partition
+    # count; otherwise the pairs are sized by data (floor: one task per core).
+    if bcast_u:
+        floor = spark.sparkContext.defaultParallelism
+    else:
+        floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(floor, math.ceil(n_pairs / rows_per_partition))
     target = max(1, math.ceil(n_pairs / parts))
 
     laid = pairs
