@@ -182,3 +182,19 @@ def test_string_ids_with_weighted_start(spark):
     assert m.layout.user_rank == "_ur"
     sums = m.p_item_given_class().groupBy("z").agg(F.sum("p").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in sums)
+
+
+def test_grid_plan_has_no_cartesian_product(model):
+    """All user x item scores come from explode + equi-join, never from a
+    Cartesian or nested-loop join."""
+    plan = score_pairs(model)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "BroadcastHashJoin" in plan and "Generate explode" in plan
+
+
+def test_hot_key_tables_are_bounded(events):
+    lay = plan_layout(events, 3, broadcast_limit=0, rows_per_partition=50)
+    assert lay.user_salts.count() < lay.partitions
+    assert lay.item_salts.count() < lay.partitions
+    # every pair lands in one sub-key and the sub-keys cover the key's pairs
+    assert lay.pairs.count() == lay.n_pairs
