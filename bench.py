@@ -63,6 +63,9 @@ def main() -> None:
 
     timed("score_histogram_events", hist)
 
+    # the largest number of classes the reference compared
+    timed("fit_events_k35_i5", lambda: fit(events_pairs(spark, sf_dir), 35, 5))
+
     cp = timed("fit_customer_part_k10_i5", lambda: fit(customer_part_pairs(spark, sf_dir), 10, 5))
     info["customer_part_pairs"] = cp.layout.n_pairs
 
