@@ -8,7 +8,6 @@ magnitude 10^3 and above, 12 for values far below 10^-3.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +27,7 @@ from latentrec.operators.scoring import (
 )
 from latentrec.plans.model import fit, sweep
 from latentrec.plans.recommend import predict, recommend
+from latentrec.session import checkpoint_dir
 from latentrec.sources.interactions import (
     customer_brand_pairs,
     customer_part_pairs,
@@ -51,12 +51,8 @@ RECOMMEND_ITERATIONS = 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Give a local session a checkpoint folder if it has none (tests, smoke
-    runs); a cluster session keeps the shared folder it was configured with."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        conf = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="latentrec-ckpt-"))
+    """Make sure the session has its shared folder (see ``checkpoint_dir``)."""
+    checkpoint_dir(spark)
     return spark
 
 

@@ -6,11 +6,13 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory of the session.
+    """Return the shared folder that holds checkpoints and intermediate tables.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``;
-    we never invent a machine-local one here. Tests and local runs set the
-    config themselves before calling into the library.
+    This is the folder named by ``spark.checkpoint.dir`` (or the one already
+    set on the context). Only where neither is set and the session runs in one
+    JVM (``local[...]``: tests, smoke runs) a folder below the session's
+    warehouse is used. On a cluster without the setting we raise instead of
+    picking a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -18,10 +20,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        raise RuntimeError(
-            "no checkpoint directory: set spark.checkpoint.dir to a shared folder "
-            "(EM state is cut with reliable checkpoints every iteration)"
-        )
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(
+                "no checkpoint directory: set spark.checkpoint.dir to a folder that all executors share"
+            )
+        conf = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()
 
