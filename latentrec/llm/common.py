@@ -54,7 +54,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/latentrec-llm-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, sort_free: bool = True) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The following jobs start from plain files: what produced them is not run
@@ -151,6 +151,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     both = stored(both.union(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "edges")
     labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.least("node", F.min("dst")).alias("root")), "cc")
+    kind = labels.schema["root"].dataType
     while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "root")
         jump = labels.alias("x").join(
@@ -159,8 +160,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         own = jump.select(F.col("x.node").alias("node"), F.col("up").alias("root"))
         # the old label rides along, so the same pass tells whether anything moved
         marked = (
-            near.select("node", "root", F.lit(None).cast("bigint").alias("was"))
-            .union(own.select("node", "root", F.lit(None).cast("bigint")))
+            near.select("node", "root", F.lit(None).cast(kind).alias("was"))
+            .union(own.select("node", "root", F.lit(None).cast(kind)))
             .union(labels.select("node", "root", F.col("root")))
         )
         after = stored(marked.groupBy("node").agg(F.min("root").alias("root"), F.max("was").alias("was")), "cc")

@@ -198,13 +198,13 @@ def token_counts(
             yield pd.DataFrame({"i": b["i"], "b": b["b"], "n": n[:, 0], "c": n[:, 1], "w": n[:, 2]})
 
     rows = docs.select(
-        F.col(id_col).alias("i"),
+        F.col(id_col).cast("string").alias("i"),
         F.coalesce(F.col(text_col), F.lit("")).alias("t"),
         F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("b"),
     )
-    out = rows.mapInPandas(run, f"i {dtype}, b long, n long, c long, w long")
+    out = rows.mapInPandas(run, "i string, b long, n long, c long, w long")
     return out.select(
-        F.col("i").alias("doc_id"),
+        F.col("i").cast(dtype).alias("doc_id"),  # as text, for pandas has no nullable long
         F.col("b").alias("n_bytes"),
         F.col("n").alias("n_tokens"),
         (F.col("n") > limit).alias("over_limit"),

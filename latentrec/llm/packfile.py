@@ -202,7 +202,10 @@ def write_token_files(
     ordered = rows.repartitionByRange(n, F.col("i").asc_nulls_first(), F.col("t")).sortWithinPartitions(
         F.col("i").asc_nulls_first(), "t"
     )
-    out = ordered.mapInPandas(run, f"part int, seq int, n_ids long, ids array<{dtype}>, payload binary")
+    # ids travel as text, for pandas has no nullable long
+    ordered = ordered.withColumn("i", F.col("i").cast("string"))
+    out = ordered.mapInPandas(run, "part int, seq int, n_ids long, ids array<string>, payload binary")
+    out = out.withColumn("ids", F.col("ids").cast(f"array<{dtype}>"))
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
@@ -221,7 +224,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     places = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("off")).join(parts, "part")
     at = F.col("base") + F.col("off")
-    placed = files.join(places.select("part", "seq", at.alias("at")), ["part", "seq"]).select("at", "ids", "payload")
+    placed = files.join(places.select("part", "seq", at.alias("at")), ["part", "seq"]).select(
+        "at", F.col("ids").cast("array<string>").alias("ids"), "payload"
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -231,8 +236,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(d.astype("<u4").tobytes()) for d in docs]
                 yield pd.DataFrame({"i": list(ids), "s": at + np.cumsum(n) - n, "n": n, "c": crc})
 
-    out = placed.mapInPandas(run, f"i {ids_type}, s long, n long, c long")
-    return out.toDF("doc_id", "start", "n_tokens", "ids_crc32")
+    out = placed.mapInPandas(run, "i string, s long, n long, c long")
+    out = out.toDF("doc_id", "start", "n_tokens", "ids_crc32")
+    return out.withColumn("doc_id", F.col("doc_id").cast(ids_type))
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

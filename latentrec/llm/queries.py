@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentrec.llm import counts, packfile, secrets
+from latentrec.llm import counts, minhash, mixing, packfile, packing, secrets
 from latentrec.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,10 +18,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packfile.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op5_packed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -31,7 +44,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_source_mix": op3_source_mix,
     "op4_token_files": op4_token_files,
+    "op5_packed_bins": op5_packed_bins,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
 }

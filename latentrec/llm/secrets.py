@@ -207,10 +207,10 @@ def scan(
             out.insert(0, "i", b["i"].values)
             yield out
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    out = rows.mapInPandas(run, f"i {dtype}, na long, nc long, nh long, nr long, sha string, sp string")
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    out = rows.mapInPandas(run, "i string, na long, nc long, nh long, nr long, sha string, sp string")
     names = ("doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")
-    return out.toDF(*names)
+    return out.toDF(*names).withColumn("doc_id", F.col("doc_id").cast(dtype))
 
 
 def redact(docs: DataFrame, detector: RandomStringDetector | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
