@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from latentrec.session import checkpoint_dir
 
-WORD = re.compile(r"\w+")
+ENDS = re.compile(r"^\W+|\W+$")
+BETWEEN_BLANKS = re.compile(r"\S+")
 U64 = np.uint64
 
 
@@ -89,27 +90,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
 class WordHasher(dict):
     """64-bit hashes of words, remembered while the task meets them again.
 
-    The memory is bounded: it is emptied at ``limit`` words and refilled.
+    A word is what stands between blanks, in lower case and without the
+    punctuation at its ends; what is only punctuation is no word (hash 0). The
+    memory is bounded: it is emptied at ``limit`` words and refilled.
     """
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, raw: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        self[word] = h
+        word = ENDS.sub("", raw.lower())
+        h = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
+        if len(raw) <= 64:
+            self[raw] = h
         return h
 
-    def words(self, text: str) -> list[str]:
-        """Words are runs of word characters, in lower case."""
-        return WORD.findall(text.lower())
-
     def hashes(self, text: str | None) -> np.ndarray:
-        words = self.words(text or "")
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+        raw = (text or "").split()
+        h = np.fromiter(map(self.__getitem__, raw), U64, len(raw))
+        return h[h != 0]
+
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """``hashes`` and the character span of each word, blanks and end punctuation left out."""
+        found = [(self[m[0]], m.start(), m.end()) for m in BETWEEN_BLANKS.finditer(text)]
+        found = [f for f in found if f[0]]
+        return np.array([f[0] for f in found], U64), np.array([f[1:] for f in found], np.int64).reshape(-1, 2)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentrec.llm import counts, hnsw, minhash, mixing, packfile, packing, secrets, topk
+from latentrec.llm import counts, hnsw, minhash, mixing, packfile, packing, passages, secrets, topk
 from latentrec.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op8_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_packed_bins": op5_packed_bins,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_shared_passages": op8_shared_passages,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
 }
