@@ -17,12 +17,17 @@ chunk encoded again, up to the whole remaining text.
 
 Words between blanks recur, so their encodings are remembered in a bounded
 memory per Python worker. The pieces are still encoded by the library itself:
-splitting at an ASCII blank changes nothing, for the reason above.
+splitting at a blank changes nothing, for the reason above. This needs a
+tokenizer that lower-cases and drops blanks (``drops_blanks`` reads that from
+its file); texts are given whole to any other.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +38,27 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 AGREE = 4
-MEMORY_CHARS = 4_000_000  # of remembered pieces, per Python worker
+MEMORY_CHARS = 6_000_000  # of remembered pieces, per Python worker
 
-BLANK = re.compile(r"[ \t\n\r]+")
 STABLE = re.compile(r"(?<=[ \t\n\r])(?=[A-Za-z0-9])")
+# str.split() takes these as blanks, the tokenizer does not
+NOT_BLANK = re.compile("[\x1c-\x1f]")
+BLANK = re.compile(r"[ \t\n\r]+")
+# Fixed value: the word pattern of the tokenizers whose pieces may be encoded alone.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Letters up to here are one code point in normal form and in lower case, but for one.
+LATIN, DOTTED = "\u024f", "\u0130"
+
+
+def _byte_symbols() -> dict[int, int]:
+    """Byte-level symbols: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in keep]
+    return {b: 256 + i for i, b in enumerate(other)}
+
+
+BYTE_SYMBOLS = _byte_symbols()
 
 _loaded: dict[str, "PieceEncoder"] = {}
 
@@ -48,54 +70,112 @@ def encoder(path: str) -> "PieceEncoder":
     return _loaded[path]
 
 
+def drops_blanks(config: dict) -> bool:
+    """Whether what stands between blanks is encoded by itself, in lower case."""
+    parts = (config.get("normalizer") or {}).get("normalizers") or []
+    steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = config.get("model") or {}
+    return (
+        [x.get("type") for x in parts] == ["NFC", "Replace", "Lowercase"]
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": WORD_PATTERN}, "Removed", True)
+        and not steps[1].get("add_prefix_space")
+        and not steps[1].get("use_regex")
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in config.get("added_tokens", []))
+    )
+
+
 class PieceEncoder:
     """Ids, counts and token starts of texts, piece by piece between blanks."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ids_of: dict[str, tuple[int, ...]] = {}
-        self.chars = 0
-
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of pieces, from memory or the library; what is new is remembered."""
+        with open(path) as f:
+            self.by_pieces = drops_blanks(json.load(f))
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.pieces = Numbered()
+        self.flat, self.ends, self.chars = array("q"), array("q", [0]), 0
+
+    def word_ids(self, word: str) -> tuple[int, ...]:
+        """Ids of what neither normaliser nor pre-tokenizer changes: Latin letters, lower-cased."""
+        ids = self.words.get(word)
+        if ids is None:
+            symbols = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+            ids = self.words[word] = tuple([t.id for t in self.tokenizer.model.tokenize(symbols)])
+            self.chars += len(word)
+        return ids
+
+    def learn(self) -> None:
+        """Encode the pieces that were met for the first time.
+
+        Sentence marks at the end of a piece that follow a letter or digit are
+        encoded apart from it: the word pattern cuts there, too.
+        """
+        hard: dict[str, tuple[int, ...]] = {}
+        split = []
+        for p in self.pieces.new:
+            core = p.rstrip(".,;:!?")
+            if not core or not core[-1].isalnum() or core[-1] > LATIN or core[-1] == DOTTED:
+                core = p
+            tail = p[len(core) :]
+            plain = core.isalpha() and (core.isascii() or (max(core) <= LATIN and DOTTED not in core))
+            split.append((core.lower() if plain else core, tail, plain))
+            for x in (tail,) if plain else (core, tail):
+                if x not in self.words:
+                    hard[x] = ()
+        todo = list(hard)
+        for at in range(0, len(todo), 4096):
+            part = todo[at : at + 4096]
+            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.words[x] = tuple(e.ids)
+                self.chars += len(x)
+        for core, tail, plain in split:
+            self.flat.extend(self.word_ids(core) if plain else self.words[core])
+            if tail:
+                self.flat.extend(self.words[tail])
+            self.ends.append(len(self.flat))
+            self.chars += len(core) + len(tail)
+        self.pieces.new = []
+
+    def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all pieces of the texts: begin and length in ``flat``; and pieces of each text."""
         if self.chars > MEMORY_CHARS:
-            self.ids_of, self.chars = {}, 0
-        found = self.ids_of
-        new = [p for p in pieces if p not in found]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.chars += sum(map(len, part))
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found[piece] = tuple(e.ids)
-        return found
-
-    def ids_many(self, texts: list[str | None]) -> list[list[int]]:
+            self.forget()
+        split = [BLANK.sub(" ", t).split(" ") if NOT_BLANK.search(t) else t.split() for t in (x or "" for x in texts)]
+        n = np.array([len(s) for s in split], np.int64)
+        at = np.fromiter((i for s in split for i in map(self.pieces.__getitem__, s)), np.int64, int(n.sum()))
+        self.learn()
+        ends = np.array(self.ends, np.int64)
+        return ends[at], ends[at + 1] - ends[at], n
+
+    def ids_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text is an empty one."""
-        split = [BLANK.sub(" ", t or "").split(" ") for t in texts]
-        out = []
-        for lo, hi in _runs(split):
-            known = self.learn(set().union(*split[lo:hi]))
-            for pieces in split[lo:hi]:
-                ids: list[int] = []
-                for p in pieces:
-                    ids += known[p]
-                out.append(ids)
-        return out
-
-    def count_many(self, texts: list[str]) -> list[int]:
-        split = [BLANK.sub(" ", t).split(" ") for t in texts]
-        out = []
-        for lo, hi in _runs(split):
-            known = self.learn(set().union(*split[lo:hi]))
-            out += [sum(len(known[p]) for p in pieces) for pieces in split[lo:hi]]
-        return out
+        if not self.by_pieces:
+            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, np.int64) for e in found]
+        begin, length, n = self._places(texts)
+        done = np.cumsum(length)
+        flat = np.array(self.flat, np.int64)
+        ids = flat[np.arange(done[-1] if len(done) else 0) + np.repeat(begin - (done - length), length)]
+        cuts = np.concatenate([[0], done])[np.cumsum(n)]
+        return np.split(ids, cuts[:-1]) if len(texts) else []
+
+    def count_many(self, texts: list[str | None]) -> np.ndarray:
+        if not self.by_pieces:
+            return np.array([len(x) for x in self.ids_many(texts)], np.int64)
+        _, length, n = self._places(texts)
+        done, last = np.concatenate([[0], np.cumsum(length)]), np.cumsum(n)
+        return done[last] - done[last - n]
 
     def starts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and start offsets (code points) of the tokens of ``text``."""
@@ -103,16 +183,17 @@ class PieceEncoder:
         return np.array(e.ids, np.int64), np.array([a for a, _ in e.offsets], np.int64)
 
 
-def _runs(split: list[list[str]], words: int = 60_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``words`` pieces together."""
-    lo = n = 0
-    for i, pieces in enumerate(split):
-        n += len(pieces)
-        if n >= words:
-            yield lo, i + 1
-            lo, n = i + 1, 0
-    if lo < len(split):
-        yield lo, len(split)
+class Numbered(dict):
+    """Numbers pieces in the order in which they are met; ``new`` lists those to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
 
 
 def splice_count(
@@ -190,7 +271,8 @@ def token_counts(
             texts = [t if isinstance(t, str) else "" for t in b["t"]]
             n = np.zeros((len(texts), 3), np.int64)
             short = [i for i, t in enumerate(texts) if len(t) <= chunk_chars]
-            n[short, 0] = enc.count_many([texts[i] for i in short])
+            for at in range(0, len(short), 512):
+                n[short[at : at + 512], 0] = enc.count_many([texts[i] for i in short[at : at + 512]])
             n[short, 1] = 1
             for i, t in enumerate(texts):
                 if len(t) > chunk_chars:

@@ -189,10 +189,9 @@ def write_token_files(
             for at in range(0, len(b), 256):
                 piece = b.iloc[at : at + 256]
                 for i, tokens in zip(piece["i"], enc.ids_many(list(piece["t"]))):
-                    tokens.append(end_id)
-                    arrays.append(np.array(tokens, U64))
+                    arrays.append(np.append(tokens, end_id).astype(U64))
                     ids.append(None if pd.isna(i) else i)
-                    held += len(tokens)
+                    held += len(tokens) + 1
                     if held >= SEGMENT_IDS:
                         yield flush()
                         ids, arrays, held, seq = [], [], 0, seq + 1

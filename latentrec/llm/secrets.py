@@ -167,19 +167,17 @@ def render(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> RandomStringDetector:
-    """Detector trained on at most ``rows`` texts (those of the smallest hash).
+    """Detector trained on at most ``rows`` texts.
 
-    The sample is a top-n by a hash of the text: the same rows whatever the
-    partitioning, and never more than the bound.
+    Distinct texts are taken by a threshold on their hash that leaves about
+    twice as many, and of these the smallest hashes: the same texts whatever
+    the partitioning, and no task or driver receives more than that.
     """
-    t = F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t")
-    sample = (
-        docs.where(F.col(text_col).isNotNull())
-        .select(F.xxhash64(text_col).alias("h"), t)
-        .orderBy("h", "t")
-        .limit(rows)
-        .collect()
-    )
+    share = min(1.0, 2 * rows / max(1, docs.count()))
+    h = F.xxhash64(text_col)
+    some = docs.where(F.col(text_col).isNotNull() & (F.pmod(h, F.lit(2**40)) < int(share * 2**40)))
+    t = F.substring(F.col(text_col), 1, SAMPLE_CHARS)
+    sample = some.groupBy(h.alias("h")).agg(F.min(t).alias("t")).orderBy("h").limit(rows).collect()
     return RandomStringDetector([r["t"] for r in sample])
 
 

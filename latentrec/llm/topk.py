@@ -30,7 +30,7 @@ from latentrec.llm.vectors import QUERY_GROUP, best, clean_vectors, grid, matrix
 
 SCALE = 256
 BUCKET = 1_024  # vectors of a bucket, at most
-SEEDS = 512  # longest vectors that give the first thresholds
+SEEDS = 512  # long vectors that give the first thresholds
 COORDINATE_FROM = 0.7
 FOCUS = 3
 EXACT = 2**53
@@ -165,8 +165,11 @@ def top_k(
     components, take no part; rows equal in id and vector count once.
     """
     vectors = stored(clean_vectors(df, id_col, vec_col, lambda x: F.floor(x * scale)), "vectors")
+    # any vectors give thresholds; long ones give high thresholds
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    seeds = vectors.orderBy(norm.desc(), "id").limit(SEEDS).collect()
+    share = max(0.0, 1 - SEEDS / max(1, vectors.count()))
+    long = vectors.agg(F.percentile_approx(norm, share, 10_000)).first()[0] or 0.0
+    seeds = vectors.where(norm >= long).limit(SEEDS).collect()
     by_dim: dict[int, list] = {}
     for r in seeds:
         by_dim.setdefault(r["dim"], []).append(r)
