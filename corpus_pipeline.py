@@ -1,8 +1,75 @@
-"""The corpus pipeline (stages are added as their operators arrive)."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Stages, in order; each takes ``(spark, docs, sf_dir)`` and works on all rows
+that the one before it kept:
+
+1. ``toxicity``: documents that the classifier scores at 0.5 or more go. It is
+   trained on the labelled documents that are not held out.
+2. ``near_duplicates``: of each near-duplicate class one document stays.
+3. ``secrets``: every secret found is replaced by a mark; all documents stay.
+4. ``mix``: sources are interleaved by their target weights. All documents
+   stay; those of sources that are short of their weight come again in later
+   epochs, as rows of their own. Rows are written in the order of the mix.
+5. ``pack``: documents are cut and packed into sequences. Repeats of a document
+   are one duplicate cluster, so they never share a sequence.
+
+All stages but the last return the columns of ``documents``. SQL can express
+neither the classifier nor the near-duplicate classes, so there is no
+``ORACLE_SQL``; the tests compare the stages with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from latentrec.llm import minhash, mixing, packing, secrets
+from latentrec.llm import toxicity as tox
+from latentrec.llm.common import fresh, ship, stored, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    net = tox.fit(docs, table(spark, sf_dir, "labels"))
+    return tox.drop_toxic(docs, net)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return minhash.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return secrets.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prefix = fresh(docs, "mix") + "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    mixed = mixing.mix(docs, prefix=prefix).orderBy(prefix + "slot", prefix + "place")
+    return mixed.drop(*[prefix + x for x in mixing.ADDED])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secret_scan),
+    ("mix", mix),
+    ("pack", pack),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each one's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,8 +27,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,7 @@ BLANK = re.compile(r"[ \t\n\r]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # Letters up to here are one code point in normal form and in lower case, but for one.
+MARKS = ".,;:!?"
 LATIN, DOTTED = "\u024f", "\u0130"
 
 
@@ -102,50 +103,55 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {}
         self.pieces = Numbered()
-        self.flat, self.ends, self.chars = array("q"), array("q", [0]), 0
-
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        """Ids of what neither normaliser nor pre-tokenizer changes: Latin letters, lower-cased."""
-        ids = self.words.get(word)
-        if ids is None:
-            symbols = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
-            ids = self.words[word] = tuple([t.id for t in self.tokenizer.model.tokenize(symbols)])
-            self.chars += len(word)
-        return ids
+        self.flat, self.ends, self.chars = np.zeros(0, np.int64), np.zeros(1, np.int64), 0
 
     def learn(self) -> None:
         """Encode the pieces that were met for the first time.
 
         Sentence marks at the end of a piece that follow a letter or digit are
-        encoded apart from it: the word pattern cuts there, too.
+        encoded apart from it: the word pattern cuts there, too. Latin letters,
+        which neither normaliser nor pre-tokenizer changes once they are lower
+        case, go straight to the library's merges; all else is given to it whole.
         """
-        hard: dict[str, tuple[int, ...]] = {}
-        split = []
-        for p in self.pieces.new:
-            core = p.rstrip(".,;:!?")
+        new, self.pieces.new = self.pieces.new, []
+        words, rest, split, tokenize = self.words, {}, [], self.tokenizer.model.tokenize
+        for p in new:
+            core = p.rstrip(MARKS)
+            word = core.lower()
+            if word in words:
+                split.append((words, word, p[len(core) :]))
+                continue
+            if core and core.isalpha() and (core.isascii() or (max(core) <= LATIN and DOTTED not in core)):
+                symbols = word if core.isascii() else word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+                words[word] = [t.id for t in tokenize(symbols)]
+                self.chars += len(word)
+                split.append((words, word, p[len(core) :]))
+                continue
             if not core or not core[-1].isalnum() or core[-1] > LATIN or core[-1] == DOTTED:
                 core = p
-            tail = p[len(core) :]
-            plain = core.isalpha() and (core.isascii() or (max(core) <= LATIN and DOTTED not in core))
-            split.append((core.lower() if plain else core, tail, plain))
-            for x in (tail,) if plain else (core, tail):
-                if x not in self.words:
-                    hard[x] = ()
-        todo = list(hard)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[x] = tuple(e.ids)
-                self.chars += len(x)
-        for core, tail, plain in split:
-            self.flat.extend(self.word_ids(core) if plain else self.words[core])
+            rest[core] = ()
+            split.append((rest, core, p[len(core) :]))
+        tails = {t: () for _, _, t in split if t not in self.tails}
+        for found in (rest, tails):
+            todo = list(found)
+            for at in range(0, len(todo), 4096):
+                part = todo[at : at + 4096]
+                for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    found[x] = e.ids
+        self.tails |= tails
+        flat: list[int] = []
+        ends, tails = [], self.tails
+        for found, core, tail in split:
+            flat += found[core]
             if tail:
-                self.flat.extend(self.words[tail])
-            self.ends.append(len(self.flat))
-            self.chars += len(core) + len(tail)
-        self.pieces.new = []
+                flat += tails[tail]
+            ends.append(len(flat))
+        self.chars += sum(map(len, new))
+        self.ends = np.concatenate([self.ends, len(self.flat) + np.array(ends, np.int64)])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int64)])
 
     def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all pieces of the texts: begin and length in ``flat``; and pieces of each text."""
@@ -153,10 +159,10 @@ class PieceEncoder:
             self.forget()
         split = [BLANK.sub(" ", t).split(" ") if NOT_BLANK.search(t) else t.split() for t in (x or "" for x in texts)]
         n = np.array([len(s) for s in split], np.int64)
-        at = np.fromiter((i for s in split for i in map(self.pieces.__getitem__, s)), np.int64, int(n.sum()))
-        self.learn()
-        ends = np.array(self.ends, np.int64)
-        return ends[at], ends[at + 1] - ends[at], n
+        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        if self.pieces.new:
+            self.learn()
+        return self.ends[at], self.ends[at + 1] - self.ends[at], n
 
     def ids_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text is an empty one."""
@@ -165,8 +171,7 @@ class PieceEncoder:
             return [np.array(e.ids, np.int64) for e in found]
         begin, length, n = self._places(texts)
         done = np.cumsum(length)
-        flat = np.array(self.flat, np.int64)
-        ids = flat[np.arange(done[-1] if len(done) else 0) + np.repeat(begin - (done - length), length)]
+        ids = self.flat[np.arange(done[-1] if len(done) else 0) + np.repeat(begin - (done - length), length)]
         cuts = np.concatenate([[0], done])[np.cumsum(n)]
         return np.split(ids, cuts[:-1]) if len(texts) else []
 

@@ -29,6 +29,7 @@ BLOCK_ROWS = 32
 PARTS = 1_000  # P: weights are multiples of 1 / P
 ALPHA = 0.9  # default targets: source sizes to this power
 MAX_SOURCES = 500  # a mix has a weight for each; more is an error
+ADDED = ("slot", "place", "epoch", "block", "release", "deadline")
 
 
 def integer_weights(weights: dict, parts: int = PARTS) -> dict:
@@ -124,7 +125,7 @@ def mix(
     """
     spark = df.sparkSession
     idx = fresh(df, "_idx")
-    names = [prefix + x for x in ("slot", "place", "epoch", "block", "release", "deadline")]
+    names = [prefix + x for x in ADDED]
     clash = {c.lower() for c in df.columns} & set(names)
     if clash:
         raise ValueError(f"the table has columns {sorted(clash)}: choose another prefix")

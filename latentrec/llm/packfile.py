@@ -52,6 +52,8 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 14
 U64 = np.uint64
+LIMITS = np.array([2**w - 1 for w in WIDTHS], U64)
+STEPS = np.array([*COUNTS, 1])
 
 
 def encode_block(ids: np.ndarray) -> np.ndarray:
@@ -61,24 +63,23 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.zeros(0, U64)
     # selector each id needs on its own: the narrowest width that holds it
-    limits = np.array([2**w - 1 for w in WIDTHS], U64)
-    need = np.searchsorted(limits, ids, "left")  # 14: escape
+    need = np.searchsorted(LIMITS, ids, "left").astype(np.int8)  # 14: escape
     # the selector that packs most ids from each start: all of them must fit
-    best = np.full(n, len(WIDTHS), np.int64)
-    for sel in range(len(WIDTHS) - 1, -1, -1):
-        wide = np.concatenate([[0], np.cumsum(need > sel)])
-        last = np.minimum(np.arange(n) + COUNTS[sel], n)
+    widest = int(need.max())
+    best = np.full(n, widest, np.int8)
+    at = np.arange(n)
+    for sel in range(min(widest, len(WIDTHS)) - 1, int(need.min()) - 1, -1):
+        wide = np.zeros(n + 1, np.int32)
+        np.cumsum(need > sel, out=wide[1:])
         # a word is full, or takes what is left of the block (the reader knows the number)
-        best[wide[last] == wide[:-1]] = sel
-    words_at, sel_at, i = [], [], 0
-    steps = [*COUNTS, 1]
-    picks = best.tolist()
+        best[wide[np.minimum(at + COUNTS[sel], n)] == wide[:-1]] = sel
+    follow = (at + STEPS[best]).tolist()
+    begins, i = [], 0
     while i < n:
-        s = picks[i]
-        words_at.append(i)
-        sel_at.append(s)
-        i += steps[s]
-    start, sel = np.array(words_at), np.array(sel_at)
+        begins.append(i)
+        i = follow[i]
+    start = np.array(begins)
+    sel = best[start].astype(np.int64)
     # escapes take two words
     place = np.arange(len(sel)) + np.concatenate([[0], np.cumsum(sel == ESCAPE)[:-1]])
     out = np.zeros(len(sel) + int((sel == ESCAPE).sum()), U64)
@@ -176,14 +177,12 @@ def write_token_files(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids, arrays, held = [], [], 0
 
         def flush():
-            lengths = np.array([len(a) for a in arrays], np.int64)
-            return pd.DataFrame(
-                {"part": [part], "seq": [seq], "n_ids": [int(lengths.sum())], "ids": [ids], "payload": [encode_segment(arrays)]}
-            )
+            row = {"part": part, "seq": seq, "before": before, "n_ids": held, "ids": ids, "payload": encode_segment(arrays)}
+            return pd.DataFrame({k: [v] for k, v in row.items()})
 
         for b in batches:
             for at in range(0, len(b), 256):
@@ -194,7 +193,7 @@ def write_token_files(
                     held += len(tokens) + 1
                     if held >= SEGMENT_IDS:
                         yield flush()
-                        ids, arrays, held, seq = [], [], 0, seq + 1
+                        ids, arrays, held, seq, before = [], [], 0, seq + 1, before + held
         if ids:
             yield flush()
 
@@ -203,7 +202,7 @@ def write_token_files(
     )
     # ids travel as text, for pandas has no nullable long
     ordered = ordered.withColumn("i", F.col("i").cast("string"))
-    out = ordered.mapInPandas(run, "part int, seq int, n_ids long, ids array<string>, payload binary")
+    out = ordered.mapInPandas(run, "part int, seq int, before long, n_ids long, ids array<string>, payload binary")
     out = out.withColumn("ids", F.col("ids").cast(f"array<{dtype}>"))
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
@@ -212,19 +211,16 @@ def write_token_files(
 def read_token_files(files: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every stored document, from the files.
 
-    ``start`` counts the ids of all documents before it: sums within a segment
-    and, for the segments before it, a running sum over one row per part (one
-    for each task that wrote) and within each part.
+    ``start`` counts the ids of all documents before it: a segment knows those
+    of its part, and parts (one for each task that wrote, so as many as the
+    writer's partitions) are summed up in order.
     """
     ids_type = files.schema["ids"].dataType.elementType.simpleString()
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    places = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("off")).join(parts, "part")
-    at = F.col("base") + F.col("off")
-    placed = files.join(places.select("part", "seq", at.alias("at")), ["part", "seq"]).select(
-        "at", F.col("ids").cast("array<string>").alias("ids"), "payload"
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    placed = files.join(F.broadcast(parts), "part").select(
+        (F.col("base") + F.col("before")).alias("at"), F.col("ids").cast("array<string>").alias("ids"), "payload"
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

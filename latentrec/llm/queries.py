@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentrec.llm import counts, hnsw, minhash, mixing, packfile, packing, passages, secrets, topk
+from latentrec.llm import counts, hnsw, minhash, mixing, packfile, packing, passages, secrets, topk, toxicity
 from latentrec.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,11 @@ def op5_packed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_token_files": op4_token_files,
     "op5_packed_bins": op5_packed_bins,
+    "op6_toxicity": op6_toxicity,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_shared_passages": op8_shared_passages,
     "op9_secret_scan": op9_secret_scan,
