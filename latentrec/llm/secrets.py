@@ -95,6 +95,33 @@ class MarkovModel:
         return float(self.log_p[self.contexts(s)].sum())
 
 
+# Words that names in programs and configuration are made of.
+NAME_WORDS = (
+    "access account action address agent alert allow amount annotation app application archive argument array "
+    "attribute audio author backend background batch before block body boolean bottom branch browser buffer build "
+    "button bytes cache callback cancel category change channel character check child class client cluster color "
+    "column command comment common component config connection console container content context controller "
+    "count create current custom data database date debug default delete description detail device dialog "
+    "directory document domain download driver edit element email enable encode endpoint engine entity environment "
+    "error event example exception execute export extension factory feature field file filter folder format "
+    "function generator global group handler header height history http identifier image implementation import "
+    "index input install instance integer interface internal item iterator java job keyboard label language layer "
+    "length library license limit list listener local location logger login manager mapping maximum message method "
+    "minimum model module monitor name network node number object of option output package page parameter parent"
+).split()
+
+
+def identifiers(n: int, seed: int = 7) -> list[str]:
+    """Labelled ordinary strings: names, paths and constants in the usual styles."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = rng.choices(NAME_WORDS, k=rng.randint(2, 5))
+        camel = "".join(x.capitalize() for x in w)
+        out.append(("_".join(w), camel, "-".join(w), "/".join(w), "_".join(w).upper(), camel[0].lower() + camel[1:])[i % 6])
+    return out
+
+
 def random_strings(n: int, seed: int = 7) -> list[str]:
     """Labelled random strings over the alphabets that keys use."""
     rng = random.Random(seed)
@@ -129,6 +156,7 @@ def labelled(texts: list[str], seed: int = 7) -> tuple[list[str], list[str]]:
             plain.append(
                 ("_".join(w), "".join(x.capitalize() for x in w), "-".join(w).lower(), "/".join(w), "".join(w).upper())[style]
             )
+    plain += identifiers(GENERATED, seed)
     # file names, versions, constants and numbered names are ordinary, too
     plain += [f"{rng.choice(plain)}_{rng.randrange(100)}" for _ in range(500 if plain else 0)]
     plain += [f"{rng.randrange(1900, 2100)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}" for _ in range(100)]
