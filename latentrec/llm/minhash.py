@@ -42,7 +42,9 @@ BANDS, ROWS = 10, 3  # a pair at 0.8 shares a bucket with probability 1 - (1 - 0
 FEATURES = 2**20
 IDF_POWER = 0.5
 CHUNK = 2**14  # features in one row of counts
-PIVOTS = 64  # members of a bucket that are compared with the others in one round
+PIVOTS = 512  # members of a bucket that are compared with the others in one round
+PIVOT_CHUNK = 64  # of them in one cell
+MEMBERS = 1_024  # other members in one cell, about
 GROUP = 256  # texts compared with one copy of a text
 
 
@@ -262,32 +264,90 @@ def links(docs: DataFrame, threshold: float, bands: int, rows: int, k: int, id_c
         texts.join(involved, "key", "left_semi").select("key", "t").dropDuplicates(["key"]), "texts"
     )
     pairs = members.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    # a link has a weight ratio of the threshold at least, for min <= smaller and max >= larger sum
     found = stored(verified(pairs, distinct_texts, idf, threshold, k), "links")
-    served = members.select("band", "h", F.col("pivot").alias("key")).distinct()
-    apart = members
+    roots = components(found)
+    # the first member of a bucket has met all others; who is still apart from whom?
+    apart = members.where("key != pivot").join(roots, F.col("key") == F.col("node"), "left").select(
+        "band", "h", "key", "id", "weight", F.coalesce("root", "key").alias("root")
+    )
     while True:
-        roots = components(found)
-        unserved = apart.join(served, ["band", "h", "key"], "left_anti").select("band", "h", "key", "id", "weight")
-        rooted = unserved.join(roots, unserved.key == roots.node, "left").select(
-            "band", "h", "key", "id", "weight", F.coalesce("root", "key").alias("root")
-        )
-        by_root = rooted.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("n"))
+        by_root = apart.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("n"))
         largest = by_root.groupBy("band", "h").agg(
-            F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("classes")
+            F.max(F.struct("n", "root")).alias("most"),
+            F.count(F.lit(1)).alias("classes"),
+            F.ceil(F.sum("n") / MEMBERS).cast("int").alias("salts"),
         )
-        largest = largest.where("classes > 1").select("band", "h", F.col("most.root").alias("main"))
-        apart = stored(rooted.join(largest, ["band", "h"]), "apart")
+        largest = largest.where("classes > 1").select("band", "h", F.col("most.root").alias("main"), "salts")
+        apart = stored(apart.join(largest, ["band", "h"]), "apart")
         order = Window.partitionBy("band", "h").orderBy("id", "key")
-        next_ = apart.where("root != main").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS)
-        next_ = stored(next_.select("band", "h", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa")), "pivots")
-        if not next_.limit(1).count():
+        ranked = apart.where("root != main").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS)
+        chunk = F.floor((F.col("rank") - 1) / PIVOT_CHUNK).cast("int")
+        pivots = stored(ranked.select("band", "h", "key", "weight", "root", "salts", chunk.alias("chunk")), "pivots")
+        if not pivots.limit(1).count():
             return sig, roots
-        two = next_.join(apart, ["band", "h"]).where("ra != root")
-        two = two.where(F.least("wa", "weight") >= (threshold - 1e-6) * F.greatest("wa", "weight"))
-        more = two.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-        found = stored(found.union(verified(more, distinct_texts, idf, threshold, k)), "links")
-        served = stored(served.union(next_.select("band", "h", F.col("a").alias("key"))), "served")
+        more = stored(met(pivots, apart, distinct_texts, idf, threshold, k), "links")
+        merged = components(more)
+        own = roots.union(merged.select("node", F.col("node").alias("root"))).distinct()
+        roots = stored(renamed(own, merged), "roots")
+        left = apart.join(pivots.select("band", "h", "key"), ["band", "h", "key"], "left_anti")
+        apart = renamed(left.select("band", "h", "key", "id", "weight", "root"), merged)
+
+
+def renamed(df: DataFrame, merged: DataFrame) -> DataFrame:
+    """``df`` with roots replaced by those of the classes they were merged into."""
+    new = merged.select(F.col("node").alias("_from"), F.col("root").alias("_to"))
+    joined = df.join(new, F.col("root") == F.col("_from"), "left")
+    return joined.select(*[c for c in df.columns if c != "root"], F.coalesce("_to", "root").alias("root"))
+
+
+def met(pivots: DataFrame, members: DataFrame, texts: DataFrame, idf, threshold: float, k: int) -> DataFrame:
+    """Pairs ``(a, b)`` of classes (roots) that a pivot and another member of its bucket link.
+
+    A cell holds up to ``PIVOT_CHUNK`` pivots of a bucket and streams about
+    ``MEMBERS`` of its members past them. A pivot that was linked to a class
+    in the cell is not compared with the rest of it.
+    """
+    spread = pivots.groupBy("band", "h").agg((F.max("chunk") + 1).alias("chunks"))
+    zero = F.lit(0)
+    first = pivots.select("*", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
+    other = members.join(spread, ["band", "h"]).select(
+        "band", "h", "key", "weight", "root", "salts",
+        F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"),
+        F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"),
+        F.lit(1).alias("kind"),
+    )
+    both = first.unionByName(other).drop("salts").join(texts, "key")
+    cell = ("band", "h", "chunk", "salt")
+    ordered = both.repartition(shuffle_partitions(pivots.sparkSession), *cell).sortWithinPartitions(*cell, "kind", "key")
+    names = (*cell, "kind", "key", "weight", "root", "t")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, now, held, up = WordHasher(), None, [], {}
+
+        def top(r: str) -> str:
+            while r in up:
+                r = up[r]
+            return r
+
+        for batch in batches:
+            out = []
+            for *at, kind, key, weight, root, t in zip(*(batch[c] for c in names)):
+                if now != at:
+                    now, held, up = at, [], {}
+                if kind == 0:
+                    held.append((key, root, weight, weighted_set(words.hashes(t), idf.value, k)))
+                    continue
+                own = None
+                for a, ra, wa, sa in held:
+                    if top(ra) == top(root) or min(wa, weight) < (threshold - 1e-6) * max(wa, weight):
+                        continue
+                    own = own or weighted_set(words.hashes(t), idf.value, k)
+                    if similarity(sa, own) >= threshold - 1e-9:
+                        out.append((ra, root))
+                        up[top(ra)] = top(root)
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return ordered.select(*names).mapInPandas(run, "a string, b string").distinct()
 
 
 def near_duplicate_classes(

@@ -86,6 +86,8 @@ def corpus():
 @pytest.mark.parametrize("pivots", [64, 3])
 def test_classes_are_those_of_all_pairs(spark, monkeypatch, pivots):
     monkeypatch.setattr(minhash, "PIVOTS", pivots)
+    monkeypatch.setattr(minhash, "PIVOT_CHUNK", 2)
+    monkeypatch.setattr(minhash, "MEMBERS", 7)
     rows = corpus()
     want, close = plain_classes(rows)
     assert not close
