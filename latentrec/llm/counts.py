@@ -24,6 +24,7 @@ its file); texts are given whole to any other.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -38,11 +39,11 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 AGREE = 4
-MEMORY_CHARS = 6_000_000  # of remembered pieces, per Python worker
+MEMORY_CHARS = 10_000_000  # of remembered pieces, per Python worker
 
 STABLE = re.compile(r"(?<=[ \t\n\r])(?=[A-Za-z0-9])")
 # str.split() takes these as blanks, the tokenizer does not
-NOT_BLANK = re.compile("[\x1c-\x1f]")
+NOT_BLANK = "\x1c\x1d\x1e\x1f"
 BLANK = re.compile(r"[ \t\n\r]+")
 # Fixed value: the word pattern of the tokenizers whose pieces may be encoded alone.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -117,6 +118,15 @@ class PieceEncoder:
         case, go straight to the library's merges; all else is given to it whole.
         """
         new, self.pieces.new = self.pieces.new, []
+        collects = gc.isenabled()
+        gc.disable()  # none of the many small lists below is garbage
+        try:
+            self._learn(new)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _learn(self, new: list[str]) -> None:
         words, rest, split, tokenize = self.words, {}, [], self.tokenizer.model.tokenize
         for p in new:
             core = p.rstrip(MARKS)
@@ -157,7 +167,7 @@ class PieceEncoder:
         """Of all pieces of the texts: begin and length in ``flat``; and pieces of each text."""
         if self.chars > MEMORY_CHARS:
             self.forget()
-        split = [BLANK.sub(" ", t).split(" ") if NOT_BLANK.search(t) else t.split() for t in (x or "" for x in texts)]
+        split = [BLANK.sub(" ", t).split(" ") if any(c in t for c in NOT_BLANK) else t.split() for t in (x or "" for x in texts)]
         n = np.array([len(s) for s in split], np.int64)
         at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
         if self.pieces.new:

@@ -43,7 +43,7 @@ from latentrec.llm.common import shared_path
 from latentrec.llm.counts import encoder
 
 MAGIC = b"S8b1"
-BLOCK_IDS = 4_096
+BLOCK_IDS = 16_384
 SEGMENT_IDS = 262_144
 BYTES_PER_PARTITION = 32 * 2**20
 
@@ -67,13 +67,14 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     # the selector that packs most ids from each start: all of them must fit
     widest = int(need.max())
     best = np.full(n, widest, np.int8)
-    at = np.arange(n)
     for sel in range(min(widest, len(WIDTHS)) - 1, int(need.min()) - 1, -1):
         wide = np.zeros(n + 1, np.int32)
         np.cumsum(need > sel, out=wide[1:])
         # a word is full, or takes what is left of the block (the reader knows the number)
-        best[wide[np.minimum(at + COUNTS[sel], n)] == wide[:-1]] = sel
-    follow = (at + STEPS[best]).tolist()
+        inner = max(0, n + 1 - COUNTS[sel])
+        best[:inner][wide[COUNTS[sel] :] == wide[:inner]] = sel
+        best[inner:][wide[inner:n] == wide[n]] = sel
+    follow = (np.arange(n) + STEPS[best]).tolist()
     begins, i = [], 0
     while i < n:
         begins.append(i)
