@@ -8,6 +8,7 @@ magnitude 10^3 and above, 12 for values far below 10^-3.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,12 @@ from latentrec.operators.quantile import quantile_table
 from latentrec.operators.scoring import (
     candidate_grid,
     histogram,
+    item_list,
     joint_probability,
     score_components,
+    score_known_pairs,
     score_pairs,
+    user_list,
 )
 from latentrec.plans.model import fit, sweep
 from latentrec.plans.recommend import predict, recommend
@@ -31,10 +35,15 @@ from latentrec.session import checkpoint_dir
 from latentrec.sources.interactions import (
     customer_brand_pairs,
     customer_part_pairs,
+    dropped_rows,
     events_pairs,
     preview,
+    read_interactions,
+    read_table,
     shape,
+    to_pairs,
 )
+from latentrec.sources.sinks import write_predictions
 
 # Fixed parameters of the registered queries.
 K = 3
@@ -231,6 +240,65 @@ def q_fit_hashed_seed(spark, sf):
     return _history(m.history())
 
 
+def _shared(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/latentrec-{name}-{uuid.uuid4().hex}"
+
+
+def _events_csv(spark, sf):
+    """All events as CSV rows ``kind, props_k, uid``: some lack the number."""
+    path = _shared(ready(spark), "csv")
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    number = F.regexp_extract(F.col("props"), "[0-9]+", 0).try_cast("bigint")
+    odd = F.when(F.col("user_id") % 7 == 0, F.lit(None)).otherwise(number)  # rows without an item
+    ev.select(F.lit("event").alias("kind"), odd.alias("props_k"), F.col("user_id").alias("uid")).write.option(
+        "header", True
+    ).csv(path)
+    return read_interactions(spark, path)
+
+
+def q_csv_round_trip(spark, sf):
+    return to_pairs(_events_csv(spark, sf), "uid", "props_k", "bigint")
+
+
+def q_csv_dropped_rows(spark, sf):
+    return dropped_rows(_events_csv(spark, sf), "uid", "props_k", "bigint")
+
+
+def q_dimension_table(spark, sf):
+    """A dimension table written as CSV and read back with its types."""
+    path = _shared(ready(spark), "dimension")
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand")
+    part.write.option("header", True).csv(path)
+    return read_table(spark, path).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_brand")
+
+
+def q_predictions_round_trip(spark, sf):
+    path = _shared(ready(spark), "predictions")
+    write_predictions(q_predict_fixed(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def q_user_list(spark, sf):
+    return user_list(_pairs(spark, sf))
+
+
+def q_item_list(spark, sf):
+    return item_list(_pairs(spark, sf))
+
+
+def q_score_known_pairs(spark, sf):
+    m = _model(spark, sf, ITER_SCORING)
+    return score_known_pairs(m, _pairs(spark, sf)).select(USER, ITEM, _r("score"))
+
+
+def q_zero_mass_class(spark, sf):
+    """Two classes, all mass in the first: the other stays empty, the likelihood finite."""
+    pairs = _pairs(spark, sf)
+    both = F.explode(F.array(F.lit(0), F.lit(1))).alias("z")
+    q0 = pairs.select(USER, ITEM, both).select(USER, ITEM, "z", (1.0 - F.col("z")).cast("double").alias("q"))
+    return _history(fit(pairs, 2, 2, q0=q0).history())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interactions_distinct": q_interactions_distinct,
     "interaction_shape": q_interaction_shape,
@@ -266,12 +334,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "brand_p_item_given_class": q_brand_p_item_given_class,
     "customer_part_loglik_history": q_customer_part_loglik_history,
     "fit_hashed_seed": q_fit_hashed_seed,
+    "csv_round_trip": q_csv_round_trip,
+    "csv_dropped_rows": q_csv_dropped_rows,
+    "dimension_table": q_dimension_table,
+    "predictions_round_trip": q_predictions_round_trip,
+    "user_list": q_user_list,
+    "item_list": q_item_list,
+    "score_known_pairs": q_score_known_pairs,
+    "zero_mass_class": q_zero_mass_class,
 }
 
 
 # ------------------------------------------------------------------ SQL side
-def _sql(n_iter: int, body: str, k: int = K, extra: list[str] | None = None, source: str = "events", ranked=False) -> str:
-    return oracle.with_ctes(oracle.em_ctes(source, k, n_iter, ranked) + (extra or []), body)
+def _sql(n_iter: int, body: str, k: int = K, extra: list[str] | None = None, source: str = "events", ranked=False, seed=None) -> str:
+    return oracle.with_ctes(oracle.em_ctes(source, k, n_iter, ranked, seed=seed) + (extra or []), body)
 
 
 def _hist_body(tag=""):
@@ -401,4 +477,24 @@ ORACLE_SQL: dict[str, str] = {
     "customer_part_loglik_history": _sql(
         2, _hist_body(), extra=[oracle.history_cte(K, 2)], source="customer_part"
     ),
+    "fit_hashed_seed": _sql(ITER_SCORING, _hist_body(), extra=[oracle.history_cte(K, ITER_SCORING)], seed=7),
+    "csv_round_trip": f"SELECT * FROM ({oracle.PAIRS_SQL['events']}) WHERE user_id % 7 <> 0",
+    "csv_dropped_rows": (
+        "SELECT count(*) AS n_rows, count(*) FILTER (user_id IS NULL OR user_id % 7 = 0 OR "
+        f"{oracle._ITEM_K} IS NULL) AS n_dropped FROM events"
+    ),
+    "dimension_table": "SELECT p_partkey, p_brand FROM part",
+    "user_list": f"SELECT DISTINCT user_id FROM ({oracle.PAIRS_SQL['events']})",
+    "item_list": f"SELECT DISTINCT item_id FROM ({oracle.PAIRS_SQL['events']})",
+    "score_known_pairs": _sql(
+        ITER_SCORING, f"SELECT user_id, item_id, round(sum(pp), 9) AS score FROM e{ITER_SCORING} GROUP BY user_id, item_id"
+    ),
+    # with one class p(s|u) is the item's share of all pairs, in every iteration
+    "zero_mass_class": (
+        f"WITH pairs AS ({oracle.PAIRS_SQL['events']}), shares AS (SELECT count(*) OVER (PARTITION BY item_id) * 1.0 "
+        "/ count(*) OVER () AS p FROM pairs) SELECT CAST(2 AS BIGINT) AS k, CAST(t.range AS BIGINT) AS iteration, "
+        "round(avg(ln(p)), 9) AS mean_log_likelihood, round(sum(ln(p)), 6) AS total_log_likelihood, "
+        "count(*) AS n_pairs FROM shares CROSS JOIN range(1, 3) t GROUP BY t.range"
+    ),
 }
+ORACLE_SQL["predictions_round_trip"] = ORACLE_SQL["predict_fixed"]

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 USER = "user_id"
 ITEM = "item_id"
 
-# 2**53: doubles represent every integer below it exactly, so the top 53 bits
-# of a 64-bit hash map onto [0, 1) without rounding collisions.
-_TWO_POW_53 = float(2**53)
+# 13 hexadecimal digits hold 52 bits, which a double represents exactly.
+_TWO_POW_52 = float(2**52)
 
 
 def class_cols(prefix: str, k: int) -> list[str]:
@@ -36,20 +35,17 @@ def safe_div(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
-def safe_ln(x: Column) -> Column:
-    """Natural log, null for non-positive input (the caller counts those)."""
-    return F.when(x > 0, F.ln(x))
-
-
 def unit_uniform(seed: int, *cols: Column) -> Column:
     """Deterministic number in [0, 1) from a hash of ``seed`` and ``cols``.
 
     Unlike ``F.rand`` the value depends only on the row's content, never on
     partitioning or task retries, so a re-run after a lost executor (or on a
-    different cluster size) draws the same start.
+    different cluster size) draws the same start. The hash is md5, which other
+    engines have, too.
     """
-    h = F.xxhash64(F.lit(seed).cast("bigint"), *cols)
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(_TWO_POW_53)
+    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    digits = F.substring(F.md5(text.cast("binary")), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(_TWO_POW_52)
 
 
 def long_form(df, key_cols: list[str], value_cols: list[str], value_name: str):

@@ -56,9 +56,13 @@ def e_step(joined: DataFrame, k: int, keep: list[str]) -> DataFrame:
     prods = joined.selectExpr(*keep, *[f"{p} AS _p{z}" for z, p in enumerate(product_sql(k))])
     return prods.selectExpr(
         *keep,
-        *[f"try_divide(_p{z}, {sql_sum(names('_p', k))}) AS {Q}{z}" for z in range(k)],
         f"{sql_sum(names('_p', k))} AS psu",
-        f"{ln_sql(sql_sum(names('_p', k)))} AS ll",
+        *names("_p", k),
+    ).selectExpr(
+        *keep,
+        *[f"coalesce(try_divide(_p{z}, psu), 0.0D) AS {Q}{z}" for z in range(k)],
+        "psu",
+        f"{ln_sql('psu')} AS ll",
     )
 
 
@@ -83,17 +87,21 @@ def m_step_sums(posterior: DataFrame, k: int) -> DataFrame:
 
 
 def user_factors(state: DataFrame, k: int) -> DataFrame:
-    """p(z|u) = N(u,z) / N(u), with N(u) = sum_z N(u,z); one row per user."""
-    n_u = sql_sum(names(N, k))
-    return state.where(f"gid = {USER_ROW}").selectExpr(
-        USER, *[f"try_divide({N}{z}, {n_u}) AS {PU}{z}" for z in range(k)]
-    )
+    """p(z|u) = N(u,z) / N(u), with N(u) = sum_z N(u,z); one row per user.
+
+    N(u) is summed in a projection of its own. A user without mass gets 0.
+    """
+    rows = state.where(f"gid = {USER_ROW}").selectExpr(USER, *names(N, k), f"{sql_sum(names(N, k))} AS _nu")
+    return rows.selectExpr(USER, *[f"coalesce(try_divide({N}{z}, _nu), 0.0D) AS {PU}{z}" for z in range(k)])
 
 
 def item_factors(state: DataFrame, k: int, class_mass: list[float]) -> DataFrame:
-    """p(s|z) = N(s,z) / N(z); N(z) is K numbers already summed by Spark."""
+    """p(s|z) = N(s,z) / N(z); N(z) is K numbers already summed by Spark.
+
+    A class without mass has p(s|z) = 0 for every item and takes no part.
+    """
     return state.where(f"gid = {ITEM_ROW}").selectExpr(
-        ITEM, *[f"try_divide({N}{z}, {dlit(class_mass[z])}) AS {PI}{z}" for z in range(k)]
+        ITEM, *[f"coalesce(try_divide({N}{z}, {dlit(class_mass[z])}), 0.0D) AS {PI}{z}" for z in range(k)]
     )
 
 

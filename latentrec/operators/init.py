@@ -76,18 +76,36 @@ def with_start_posterior(
     return with_w.select(*pairs.columns, *posterior)
 
 
+def check_given_posterior(q0: DataFrame, pairs: DataFrame, k: int) -> None:
+    """Raise unless ``q0`` has K values from 0 to 1 that sum to 1 for every pair, and no others.
+
+    One aggregate per pair and one over them; only the number of bad pairs
+    reaches the driver.
+    """
+    per_pair = q0.groupBy(USER, ITEM).agg(
+        F.count("q").alias("_n"),
+        F.count_distinct("z").alias("_nz"),
+        F.min("z").alias("_z0"),
+        F.max("z").alias("_z1"),
+        F.min("q").alias("_q0"),
+        F.sum("q").alias("_s"),
+    )
+    good = (F.col("_n") == k) & (F.col("_nz") == k) & (F.col("_z0") == 0) & (F.col("_z1") == k - 1)
+    good = good & (F.col("_q0") >= 0) & (F.abs(F.col("_s") - 1) <= 1e-6)
+    known = pairs.select(USER, ITEM, F.lit(1).alias("_known"))
+    both = per_pair.join(known, [USER, ITEM], "full")
+    bad = both.where(F.col("_known").isNull() | ~F.coalesce(good, F.lit(False))).count()
+    if bad:
+        raise ValueError(f"q0 does not fit {bad} pairs: each needs {k} values from 0 to 1, for z = 0..{k - 1}, with sum 1")
+
+
 def wide_given_posterior(q0: DataFrame, k: int, prefix: str = "q_") -> DataFrame:
     """Pivot a long start ``(user_id, item_id, z, q)`` to one row per pair.
 
-    One shuffle on (user, item), once per fit. The given values are used as
-    they are; the caller is responsible for sum-to-one.
+    One shuffle on (user, item), once per fit. ``check_given_posterior`` says
+    whether the values make sense.
     """
     wide = q0.groupBy(USER, ITEM).pivot("z", list(range(k))).agg(F.first("q"))
     return wide.select(
         USER, ITEM, *[F.coalesce(F.col(str(z)), F.lit(0.0)).alias(f"{prefix}{z}") for z in range(k)]
     )
-
-
-def class_dimension(spark, k: int) -> DataFrame:
-    """The K latent classes 0..K-1 as a table (only for display and long output)."""
-    return spark.range(k).withColumnRenamed("id", "z")

@@ -15,7 +15,8 @@ found by narrowing:
 
 Each round shrinks the candidates by about ``accuracy / 4``, so a column of
 10^12 values needs two or three rounds, and every round is a pass of
-partial aggregates: nothing but a handful of numbers reaches the driver.
+partial aggregates. What reaches the driver are a few numbers per round and,
+at the end, at most ``max_candidates`` values.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10_000
-DEFAULT_MAX_CANDIDATES = 1_000_000
+DEFAULT_MAX_CANDIDATES = 4_096
 
 _X = "_x"
 

@@ -1,64 +1,83 @@
 """Scoring every user against every item, score summaries and flags.
 
 The grid of all (user, item) combinations is the result the recommender
-exists to produce, so its size, n_users x n_items, is the output size. It is
-generated without a Cartesian operator: items get a dense index 1..n, each
-user row emits the index range with ``explode(sequence(1, n))`` inside the
-same code-generated stage, and an equi-join on the index attaches the item
-row. The item side is broadcast when its size (known exactly) is under the
-limit; otherwise the join is a plain shuffle join whose partitions are even by
-construction (every index value occurs once per user).
+exists to produce, so its size, n_users x n_items, is the output size, and
+histogram and quantile over it read as many cells. Items are packed into
+blocks of about ``ITEM_BLOCK`` rows; every user row is copied once per block
+(n_users x n_blocks rows), meets the block in an equi-join, and is expanded to
+cells inside the task. The number of tasks follows from the number of cells.
+The item blocks are broadcast when their size (known exactly) is under the
+limit; otherwise both sides are hash-partitioned by (block, user salt) into
+that many partitions and merge-joined, so neither is ever a broadcast side.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latentrec.functions.columns import ITEM, USER, class_cols, dlit, long_form
 from latentrec.operators import em
-from latentrec.operators.indexing import dense_index
 from latentrec.plans.layout import DEFAULT_BROADCAST_LIMIT, factor_row_bytes
 
-IX = "_ix"
+ITEM_BLOCK = 1_024
+CELLS_PER_PARTITION = 2_000_000
+
+BLOCK = "_block"
+SALT = "_salt"
+
+
+def user_list(pairs: DataFrame) -> DataFrame:
+    """Distinct users of the pairs."""
+    return pairs.select(USER).distinct()
+
+
+def item_list(pairs: DataFrame) -> DataFrame:
+    """Distinct items of the pairs."""
+    return pairs.select(ITEM).distinct()
 
 
 def all_items_for_each_user(
     users: DataFrame,
     items: DataFrame,
+    n_users: int | None = None,
     n_items: int | None = None,
     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
     row_bytes: int = 32,
 ) -> DataFrame:
-    """Every ``users`` row combined with every ``items`` row.
-
-    ``item_id`` must be unique in ``items``. The indexed item table is built
-    once and checkpointed, so each later action on the result is a single
-    stage: scan users, explode, probe the broadcast item table.
-    """
-    indexed = dense_index(items, ITEM, IX, distinct=False)
-    if n_items is None:
-        n_items = indexed.count()
-    if n_items == 0:  # sequence(1, 0) would count down, so stop here
-        expanded = users.select("*", F.lit(None).cast("bigint").alias(IX)).where(F.lit(False))
+    """Every ``users`` row combined with every ``items`` row; the keys must be unique."""
+    n_users = users.count() if n_users is None else n_users
+    n_items = items.count() if n_items is None else n_items
+    n_blocks = max(1, math.ceil(n_items / ITEM_BLOCK))
+    floor = users.sparkSession.sparkContext.defaultParallelism
+    parts = max(floor, math.ceil(n_users * n_items / CELLS_PER_PARTITION))
+    parts = max(1, min(parts, n_users * n_blocks))
+    block = F.pmod(F.xxhash64(ITEM), F.lit(n_blocks)).cast("int").alias(BLOCK)
+    packed = items.select("*", block).groupBy(BLOCK).agg(F.collect_list(F.struct(*items.columns)).alias("_items"))
+    expanded = users.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias(BLOCK))
+    if n_items * row_bytes <= broadcast_limit:
+        joined = expanded.repartition(parts, USER, BLOCK).join(F.broadcast(packed), BLOCK)
     else:
-        ids = F.sequence(F.lit(1).cast("bigint"), F.lit(n_items).cast("bigint"))
-        expanded = users.select("*", F.explode(ids).alias(IX))
-    side = F.broadcast(indexed) if n_items * row_bytes <= broadcast_limit else indexed
-    return expanded.join(side, IX).drop(IX)
+        salts = math.ceil(parts / n_blocks)
+        salted = expanded.withColumn(SALT, F.pmod(F.xxhash64(USER), F.lit(salts)).cast("int"))
+        copies = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(SALT))
+        key = [BLOCK, SALT]
+        joined = salted.repartition(parts, *key).hint("merge").join(copies.repartition(parts, *key).hint("merge"), key)
+    return joined.select(*users.columns, F.inline("_items"))
 
 
 def candidate_grid(pairs: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """``(user_id, item_id)`` for all users and all items seen in ``pairs``."""
-    users = pairs.select(USER).distinct()
-    items = pairs.select(ITEM).distinct()
-    return all_items_for_each_user(users, items, broadcast_limit=broadcast_limit)
+    return all_items_for_each_user(user_list(pairs), item_list(pairs), broadcast_limit=broadcast_limit)
 
 
 def _factor_grid(model, broadcast_limit: int) -> DataFrame:
     return all_items_for_each_user(
         model.user_factors(),
         model.item_factors(),
+        model.layout.n_users,
         model.layout.n_items,
         broadcast_limit,
         factor_row_bytes(model.k),
@@ -100,7 +119,7 @@ def joint_probability(model, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) ->
         USER, *[f"{em.N}{z} / {dlit(total)} AS {em.PU}{z}" for z in range(k)]
     )
     g = all_items_for_each_user(
-        user_rows, model.item_factors(), model.layout.n_items, broadcast_limit, factor_row_bytes(k)
+        user_rows, model.item_factors(), model.layout.n_users, model.layout.n_items, broadcast_limit, factor_row_bytes(k)
     )
     return g.selectExpr(USER, ITEM, f"{em.psu_sql(k)} AS p_joint")
 
@@ -138,11 +157,3 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def flag(scores: DataFrame, threshold: float, col: str = "score") -> DataFrame:
     """Add ``recommended = score >= threshold`` (inclusive)."""
     return scores.withColumn("recommended", F.col(col) >= F.lit(float(threshold)))
-
-
-def recommended_only(predictions: DataFrame) -> DataFrame:
-    return predictions.where(F.col("recommended"))
-
-
-def grid_size(model) -> int:
-    return model.layout.n_users * model.layout.n_items

@@ -36,7 +36,9 @@ PAIRS_SQL = {
 }
 
 
-def em_ctes(source: str, k: int, n_iter: int, ranked: bool = False, tag: str = "") -> list[str]:
+def em_ctes(
+    source: str, k: int, n_iter: int, ranked: bool = False, tag: str = "", seed: int | None = None
+) -> list[str]:
     """CTE list: ``{tag}pairs``, ``{tag}q0`` then per iteration t
     ``{tag}m{t}`` (sums), ``{tag}e{t}`` (parameters, products) and
     ``{tag}q{t}`` (posterior, p(s|u)).
@@ -51,10 +53,14 @@ def em_ctes(source: str, k: int, n_iter: int, ranked: bool = False, tag: str = "
     else:
         out.append(f"{p}rp AS (SELECT user_id, item_id, user_id AS ur, item_id AS ir FROM {p}pairs)")
     out.append(f"{p}zs AS (SELECT CAST(range AS BIGINT) AS z FROM range({k}))")
-    out.append(
-        f"{p}w0 AS (SELECT user_id, item_id, z, CAST((ur * {WEIGHT_USER_FACTOR} + ir * {WEIGHT_ITEM_FACTOR} "
-        f"+ z * {WEIGHT_CLASS_FACTOR}) % {WEIGHT_MODULUS} + 1 AS DOUBLE) AS w FROM {p}rp CROSS JOIN {p}zs)"
+    weight = (
+        f"CAST((ur * {WEIGHT_USER_FACTOR} + ir * {WEIGHT_ITEM_FACTOR} "
+        f"+ z * {WEIGHT_CLASS_FACTOR}) % {WEIGHT_MODULUS} + 1 AS DOUBLE)"
     )
+    if seed is not None:  # the hashed start
+        digits = f"substr(md5(concat_ws('|', '{seed}', user_id, item_id, z)), 1, 13)"
+        weight = f"CAST(CAST('0x' || {digits} AS BIGINT) AS DOUBLE) / {2**52} + {2.0**-53!r}"
+    out.append(f"{p}w0 AS (SELECT user_id, item_id, z, {weight} AS w FROM {p}rp CROSS JOIN {p}zs)")
     out.append(
         f"{p}q0 AS (SELECT user_id, item_id, z, w / sum(w) OVER (PARTITION BY user_id, item_id) AS q FROM {p}w0)"
     )

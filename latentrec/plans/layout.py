@@ -4,7 +4,7 @@ The pair table never changes during EM; only the two small parameter tables
 (p(z|u) per user, p(s|z) per item) do. So the expensive decisions are made
 once, from exact counts:
 
-* a parameter side is **broadcast** only when ``rows x (K+2) x 8`` bytes is
+* a parameter side is **broadcast** only when ``rows x (K+4) x 8`` bytes is
   under ``broadcast_limit``; the counts come from the data, not guesses;
 * when the user side is too big, the pairs are written once as a table
   **bucketed by user** (parquet, under ``spark.checkpoint.dir``), so every
@@ -113,6 +113,15 @@ class PairLayout:
             joined = joined.join(side.hint("shuffle_hash"), self.item_keys)
         return joined
 
+    def close(self) -> None:
+        """Delete the stored pairs and salt tables; the layout cannot be used after that."""
+        names = [t.name for t in self.pairs.sparkSession.catalog.listTables() if t.name.startswith("latentrec_pairs_")]
+        mine = [n for n in names if any(n.removeprefix("latentrec_pairs_") in f for f in self.pairs.inputFiles()[:1])]
+        for df in (self.pairs, self.user_salts, self.item_salts):
+            drop_written(df)
+        for n in mine:
+            self.pairs.sparkSession.sql(f"DROP TABLE IF EXISTS {n}")
+
     def describe(self) -> dict:
         return {
             "n_pairs": self.n_pairs,
@@ -136,14 +145,16 @@ def _replicate_hot(factors: DataFrame, salts: DataFrame | None, key: str, salt:
     )
 
 
-def store_pairs(laid: DataFrame, parts: int, bucket_keys: list[str] | None) -> DataFrame:
+def store_pairs(laid: DataFrame, parts: int, bucket_keys: list[str] | None, copies: int = 1) -> DataFrame:
     """Write the laid-out pairs once under the checkpoint folder and read them back.
 
     With ``bucket_keys`` the table is bucketed into ``parts`` buckets, which
     the planner treats as hash partitioning on those keys: joins and
     aggregations on them need no exchange on this side. Each task writes one
     bucket (the repartition uses the same hash), so there are ``parts`` files.
-    Without keys it is plain parquet, spread evenly over ``parts`` files.
+    Without keys it is plain parquet in ``parts`` files, clustered by user (the
+    pairs of one user in at most ``copies`` files), so that the partial sums of
+    an iteration meet few users per task.
     """
     spark = laid.sparkSession
     tag = uuid.uuid4().hex
@@ -158,7 +169,8 @@ def store_pairs(laid: DataFrame, parts: int, bucket_keys: list[str] | None) -> D
             .saveAsTable(name)
         )
         return spark.table(name)
-    laid.repartition(parts, USER, ITEM).write.parquet(path)
+    salt = F.pmod(F.xxhash64(ITEM), F.lit(copies))
+    laid.repartition(parts, F.col(USER), salt).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -184,7 +196,8 @@ def plan_layout(
     start on string ids).
     """
     spark = pairs.sparkSession
-    pairs = pairs.select(USER, ITEM)
+    # the source is read once: all that follows starts from the stored pairs
+    source = pairs = cut_lineage(pairs.select(USER, ITEM), "source")
     degrees = pairs.groupingSets([[USER], [ITEM]], USER, ITEM).agg(
         F.count(F.lit(1)).alias("deg"), F.grouping_id().alias("gid")
     )
@@ -209,6 +222,8 @@ def plan_layout(
     else:
         floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(floor, math.ceil(n_pairs / rows_per_partition))
+    if not bcast_u:  # buckets may hold more than one partition's worth, but not be more than the session allows
+        parts = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     target = max(1, math.ceil(n_pairs / parts))
 
     laid = pairs
@@ -236,7 +251,9 @@ def plan_layout(
 
     # Co-locate pairs with their user's parameter row for every iteration when
     # that row cannot be broadcast; otherwise just spread the pairs evenly.
-    laid = store_pairs(laid, parts, None if bcast_u else user_keys)
+    copies = max(1, math.ceil((s["max_u"] or 0) / target))
+    laid = store_pairs(laid, parts, None if bcast_u else user_keys, copies)
+    drop_written(source)
     return PairLayout(
         pairs=laid,
         n_pairs=n_pairs,

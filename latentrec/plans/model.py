@@ -3,8 +3,8 @@
 Each iteration is one job: the pairs join p(z|u) and p(s|z) (broadcast or
 co-partitioned, see ``layout``), the E-step is row arithmetic, and one
 grouping-sets aggregate produces the next M-step sums together with the
-log-likelihood of the current parameters. The small result is checkpointed
-(reliable, in ``spark.checkpoint.dir``), which cuts the lineage so plans stay
+log-likelihood of the current parameters. The small result is written as
+parquet in the session's shared folder, which cuts the lineage so plans stay
 the same size in every iteration and a lost executor only costs the current
 iteration. Only K + 3 numbers per iteration come back to the driver: N(z) and
 the log-likelihood, needed for the next p(s|z) and for the stopping rule.
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from latentrec.functions.columns import ITEM, USER, class_cols, long_form, row_sum
 from latentrec.operators import em
-from latentrec.operators.init import wide_given_posterior, with_start_posterior
+from latentrec.operators.init import check_given_posterior, wide_given_posterior, with_start_posterior
 from latentrec.plans.layout import (
     DEFAULT_BROADCAST_LIMIT,
     DEFAULT_ROWS_PER_PARTITION,
@@ -116,6 +116,11 @@ class PlsiModel:
         e = em.e_step(self._joined(), self.k, keep=[USER, ITEM])
         return long_form(e, [USER, ITEM], class_cols(em.Q, self.k), "q")
 
+    def close(self) -> None:
+        """Delete the stored parameters and the layout's tables."""
+        drop_written(self.state)
+        self.layout.close()
+
     # ---- likelihood curve --------------------------------------------------
     def history(self) -> DataFrame:
         spark = self.state.sparkSession
@@ -166,8 +171,11 @@ def fit(
         if layout.user_rank == USER:
             raise ValueError("weighted start on string ids needs a layout planned with rank_ids=True")
 
+    if layout.n_pairs == 0:
+        raise ValueError("no pairs to fit: the interactions are empty or every row lacks an id")
     qcols = class_cols(em.Q, k)
     if q0 is not None:
+        check_given_posterior(q0, layout.pairs, k)
         start = layout.pairs.select(USER, ITEM).join(wide_given_posterior(q0, k), [USER, ITEM], "left")
         start = start.select(USER, ITEM, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in qcols])
     else:
@@ -224,5 +232,9 @@ def sweep(
     layout = plan_layout(pairs, max(ks), broadcast_limit, rows_per_partition, rank_ids=rank)
     rows: list[tuple] = []
     for k in ks:
-        rows.extend(fit(layout, k, n_iter, init=init, seed=seed).history_rows)
-    return layout.pairs.sparkSession.createDataFrame(rows, HISTORY_SCHEMA)
+        model = fit(layout, k, n_iter, init=init, seed=seed)
+        rows.extend(model.history_rows)
+        drop_written(model.state)
+    out = layout.pairs.sparkSession.createDataFrame(rows, HISTORY_SCHEMA)
+    layout.close()
+    return out

@@ -8,49 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from latentrec.functions.columns import ITEM, USER
 
-# Layout of the shipped sample ratings file (header line, comma separated).
-RATINGS_SCHEMA = T.StructType(
-    [
-        T.StructField("user_id", T.LongType()),
-        T.StructField("user_username", T.StringType()),
-        T.StructField("movie_id", T.LongType()),
-        T.StructField("rating", T.IntegerType()),
-    ]
-)
-
-# Layout the walkthrough describes: userId, movieId, rating, timestamp.
-MOVIELENS_SCHEMA = T.StructType(
-    [
-        T.StructField("userId", T.LongType()),
-        T.StructField("movieId", T.LongType()),
-        T.StructField("rating", T.DoubleType()),
-        T.StructField("timestamp", T.LongType()),
-    ]
-)
-
-
 def read_interactions(
     spark: SparkSession,
     path: str,
     fmt: str = "csv",
-    schema: T.StructType | None = RATINGS_SCHEMA,
     header: bool = True,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """Read raw interaction rows (text CSV with a header, or parquet).
+    """Read raw interaction rows (text CSV, or parquet).
 
-    CSV runs in PERMISSIVE mode: a short or malformed line becomes nulls in the
-    missing fields instead of failing the task; ``to_pairs`` drops those.
+    CSV columns are bound by the names of the header line, or by ``columns``
+    where there is none, and are strings: ids need not be numbers. Files whose
+    headers differ are an error, not a mix-up of columns. A short line has
+    nulls for what is missing; ``to_pairs`` drops rows without an id, and
+    ``dropped_rows`` counts them.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+    rows = spark.read.option("header", header).option("mode", "PERMISSIVE").option("enforceSchema", not header).csv(path)
+    return rows.toDF(*columns) if columns else rows
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -60,18 +39,35 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
-def to_pairs(df: DataFrame, user_col: str = "user_id", item_col: str = "movie_id") -> DataFrame:
+def _ids(df: DataFrame, user_col: str, item_col: str, id_type: str | None) -> DataFrame:
+    user, item = F.col(user_col), F.col(item_col)
+    if id_type:
+        user, item = user.try_cast(id_type), item.try_cast(id_type)
+    return df.select(user.alias(USER), item.alias(ITEM))
+
+
+def to_pairs(
+    df: DataFrame, user_col: str = "user_id", item_col: str = "movie_id", id_type: str | None = None
+) -> DataFrame:
     """Distinct ``(user_id, item_id)`` pairs; rows with a missing id are dropped.
 
     Only seen / not seen matters, so ratings and duplicates collapse. The
     distinct is a hash aggregate with a map-side partial step, so a user or
     item holding a large share of the rows costs one row per map task in the
-    shuffle, not one row per event.
+    shuffle, not one row per event. ``id_type`` casts the ids on request; ids
+    that cannot be cast count as missing.
     """
-    return (
-        df.select(F.col(user_col).alias(USER), F.col(item_col).alias(ITEM))
-        .where(F.col(USER).isNotNull() & F.col(ITEM).isNotNull())
-        .distinct()
+    ids = _ids(df, user_col, item_col, id_type)
+    return ids.where(F.col(USER).isNotNull() & F.col(ITEM).isNotNull()).distinct()
+
+
+def dropped_rows(
+    df: DataFrame, user_col: str = "user_id", item_col: str = "movie_id", id_type: str | None = None
+) -> DataFrame:
+    """One row ``(n_rows, n_dropped)``: rows read, and those that ``to_pairs`` drops for a missing id."""
+    missing = F.col(USER).isNull() | F.col(ITEM).isNull()
+    return _ids(df, user_col, item_col, id_type).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(missing, 1)).alias("n_dropped")
     )
 
 
@@ -101,13 +97,6 @@ def customer_brand_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_pairs(joined, "o_custkey", "p_brand")
 
 
-SOURCES = {
-    "events": events_pairs,
-    "customer_part": customer_part_pairs,
-    "customer_brand": customer_brand_pairs,
-}
-
-
 def preview(df: DataFrame, n: int = 10, order: tuple[str, ...] = (USER, ITEM)) -> DataFrame:
     """First ``n`` rows in key order (a top-n sort, not a full collect)."""
     return df.orderBy(*order).limit(n)
