@@ -28,6 +28,7 @@ from latentrec.llm.vectors import QUERY_GROUP, best, clean_vectors, grid, matrix
 M = 16  # links of a node in an upper layer; twice as many at the bottom
 EF_BUILD = 64
 EF_SEARCH = 128
+EF_UPPER = 16  # candidates kept in the upper layers; all of them enter the layer below
 EXPAND = 4  # candidates expanded in one step
 BATCH = 256
 SHARD_ROWS = 2_048
@@ -104,25 +105,26 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
     def descend(self, q: np.ndarray, to: int) -> np.ndarray:
-        """Nearest entry for layer ``to``, through the layers above."""
+        """Entries for layer ``to``: the nearest nodes found in the layers above."""
         start = np.full((len(q), 1), self.entry, np.int64)
         for at in range(len(self.links) - 1, to, -1):
             if self.level[self.entry] >= at:
-                start = self.layer(q, start, at, 1)[0]
+                start = self.layer(q, start, at, EF_UPPER)[0]
         return start
 
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         return self.layer(q, self.descend(q, 0), 0, ef)
 
     # ---- construction ---------------------------------------------------------
-    def choose(self, ids: np.ndarray, dist: np.ndarray, m: int) -> np.ndarray:
+    def choose(self, nodes: np.ndarray, ids: np.ndarray, dist: np.ndarray, m: int) -> np.ndarray:
         """Up to ``m`` links among candidates (nearest first): those nearer to the
         node than to any link chosen before, then the nearest of the others."""
         n, c = ids.shape
         out = np.full((n, m), -1, np.int32)
         for lo in range(0, n, 128):
             part, d = ids[lo : lo + 128], dist[lo : lo + 128]
-            y = self.x[part].astype(np.float32)
+            # seen from the node: differences keep their digits
+            y = (self.x[part] - self.x[nodes[lo : lo + 128], None]).astype(np.float32)
             norm = np.einsum("ijk,ijk->ij", y, y)
             between = norm[:, :, None] + norm[:, None, :] - 2 * (y @ y.transpose(0, 2, 1))
             nearest = np.full(part.shape, np.inf, np.float32)
@@ -140,7 +142,7 @@ class Graph:
     def connect(self, at: int, nodes: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
         links = self.links[at]
         m = links.shape[1]
-        chosen = self.choose(ids, dist, M)
+        chosen = self.choose(nodes, ids, dist, M)
         links[nodes, : chosen.shape[1]] = chosen
         # links back: a node that gets too many chooses anew
         src = np.repeat(nodes, chosen.shape[1])
@@ -164,7 +166,7 @@ class Graph:
                 pool[i, h : h + k] = src[first[o] : first[o] + k]
             d = np.where(pool >= 0, squared(self.x[targets[over]], self.x[pool]), np.inf)
             pool, d = self._cut(pool, d, 4 * m)
-            links[targets[over]] = self.choose(pool, d, m)
+            links[targets[over]] = self.choose(targets[over], pool, d, m)
 
     def insert(self, nodes: np.ndarray) -> None:
         """Add a batch of nodes; they also see each other."""
@@ -191,6 +193,42 @@ class Graph:
             self.entry = int(highest)
 
 
+    def bridge(self) -> None:
+        """Make every node of a layer reachable from the entry.
+
+        In a dense cluster all links may end inside of it; then the nearest
+        pair of a reachable and an unreachable node is linked both ways, in
+        columns added for that, until all are reachable.
+        """
+        for at, links in enumerate(self.links):
+            here = np.flatnonzero(self.level >= at)
+            while len(lost := np.setdiff1d(here, reached := reachable(links, self.entry), assume_unique=True)):
+                best_ = (np.inf, -1, -1)
+                for lo in range(0, len(lost), 256):
+                    y = self.x[lost[lo : lo + 256]]
+                    d = (y * y).sum(1)[:, None] + (self.x[reached] ** 2).sum(1) - 2 * y @ self.x[reached].T
+                    i, j = np.unravel_index(d.argmin(), d.shape)
+                    best_ = min(best_, (float(d[i, j]), int(lost[lo + i]), int(reached[j])))
+                _, u, v = best_
+                if (links[[u, v]] >= 0).all(1).any():
+                    links = np.concatenate([links, np.full((len(links), 1), -1, np.int32)], 1)
+                for a, b in ((u, v), (v, u)):
+                    links[a, np.flatnonzero(links[a] < 0)[0]] = b
+            self.links[at] = links
+
+
+def reachable(links: np.ndarray, start: int) -> np.ndarray:
+    """Nodes that can be reached by links from ``start``."""
+    seen = np.zeros(len(links) + 1, bool)
+    seen[start] = True
+    front = np.array([start])
+    while len(front):
+        near = np.unique(links[front])
+        front = near[~seen[near] & (near >= 0)]
+        seen[front] = True
+    return np.flatnonzero(seen[:-1])
+
+
 def levels(n: int, seed: int) -> np.ndarray:
     """Geometric layers from a hash of the position, the same at every retry."""
     with np.errstate(over="ignore"):
@@ -206,6 +244,8 @@ def build(x: np.ndarray, seed: int = 0) -> Graph:
         size = min(BATCH, max(32, at // 2))
         g.insert(np.arange(at, min(len(x), at + size)))
         at += size
+    if len(x):
+        g.bridge()
     return g
 
 
