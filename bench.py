@@ -76,6 +76,12 @@ def main() -> None:
         lambda: sweep(events_pairs(spark, sf_dir), [3, 4, 5], 5).collect(),
     )
 
+    # the reference's own sweep: nine K
+    timed(
+        "k_sweep_events_nine_k_i20",
+        lambda: sweep(events_pairs(spark, sf_dir), [3, 4, 5, 10, 15, 20, 25, 30, 35], 20).collect(),
+    )
+
     def quantile_large():
         return exact_quantile(score_pairs(cp), "score", 0.9)
 

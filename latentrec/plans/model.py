@@ -31,6 +31,7 @@ from latentrec.plans.layout import (
     ids_are_integral,
     plan_layout,
 )
+from latentrec.plans.sweep import fit_group, groups
 
 HISTORY_SCHEMA = T.StructType(
     [
@@ -227,14 +228,22 @@ def sweep(
     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
     rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
 ) -> DataFrame:
-    """Likelihood curves for several K on one shared, checkpointed pair layout."""
+    """Likelihood curves for several K on one stored pair layout.
+
+    K are fitted in groups (see ``latentrec.plans.sweep``): one pass over the
+    pairs per iteration serves all K of a group.
+    """
     rank = init == "weighted" and not ids_are_integral(pairs)
-    layout = plan_layout(pairs, max(ks), broadcast_limit, rows_per_partition, rank_ids=rank)
-    rows: list[tuple] = []
-    for k in ks:
-        model = fit(layout, k, n_iter, init=init, seed=seed)
-        rows.extend(model.history_rows)
-        drop_written(model.state)
-    out = layout.pairs.sparkSession.createDataFrame(rows, HISTORY_SCHEMA)
+    parts = groups(ks)
+    widest = max((sum(g) for g in parts), default=1)
+    layout = plan_layout(pairs, widest, broadcast_limit, rows_per_partition, rank_ids=rank)
+    if layout.n_pairs == 0:
+        raise ValueError("no pairs to fit: the interactions are empty or every row lacks an id")
+    rows: dict[tuple[int, int], tuple] = {}
+    for group in parts:
+        for k, t, ll, n_ll, n_pairs in fit_group(layout, group, n_iter, init, seed):
+            rows[k, t] = _history_row(k, t, ll, n_ll, n_pairs)
+    ordered = [rows[k, t] for k in ks for t in range(1, n_iter + 1)]
+    out = layout.pairs.sparkSession.createDataFrame(ordered, HISTORY_SCHEMA)
     layout.close()
     return out

@@ -246,3 +246,16 @@ def test_sweep_and_close_leave_nothing(spark):
     fit(pairs, 2, 2, broadcast_limit=0).close()
     assert left() == before
     assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_sweep_in_groups_equals_single_fits(spark, monkeypatch):
+    from latentrec.plans import sweep as fused
+
+    rows = [(f"u{u}", f"i{(u * 7 + j * j) % 13}") for u in range(30) for j in range(u % 4 + 1)]
+    pairs = spark.createDataFrame(rows, "user_id string, item_id string").distinct()
+    assert fused.groups([5, 3, 4, 10], 12) == [[3, 4, 5], [10]]
+    monkeypatch.setattr(fused.groups, "__defaults__", (8,))
+    got = {(r.k, r.iteration): r.mean_log_likelihood for r in sweep(pairs, [4, 2, 3], 3, seed=3).collect()}
+    for k in (2, 3, 4):
+        for row in fit(pairs, k, 3, seed=3).history_rows:
+            assert got[k, row[1]] == pytest.approx(row[2], abs=1e-12)
