@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latentrec.llm import minhash, mixing, packing, secrets
 from latentrec.llm import toxicity as tox
-from latentrec.llm.common import fresh, ship, stored, table
+from latentrec.llm.common import free_prefix, ship, stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prefix = fresh(docs, "mix") + "_"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
+    prefix = free_prefix(docs) + "mix_"
     mixed = mixing.mix(docs, prefix=prefix).orderBy(prefix + "slot", prefix + "place")
     return mixed.drop(*[prefix + x for x in mixing.ADDED])
 

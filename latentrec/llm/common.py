@@ -67,17 +67,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that no column of ``df`` has (in any letter case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def free_prefix(df: DataFrame) -> str:
+    """What no column name of ``df`` starts with (in any letter case)."""
+    prefix = "_x"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "x"
+    return prefix + "_"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def col(name: str) -> Column:
     """A column by its exact name, also when the name holds dots or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latentrec.llm.common import U64, WordHasher, col, components, fresh, mix, shingles, shuffle_partitions, stored
+from latentrec.llm.common import U64, WordHasher, col, components, free_prefix, mix, quoted, shingles, shuffle_partitions, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -397,10 +397,10 @@ def keep_one(
     are equal in both are interchangeable.
     """
     _, roots = links(docs, threshold, bands, rows, k, id_col, text_col)
-    key, root, rank = fresh(docs, "_key"), fresh(docs, "_root"), fresh(docs, "_rank")
+    key, root, rank, node = (free_prefix(docs) + x for x in ("key", "root", "rank", "node"))
     keyed = docs.withColumn(key, text_key(text_col))
-    side = roots.select(F.col("node").alias("_n"), F.col("root").alias(root))
-    rooted = keyed.join(side, F.col(key) == F.col("_n"), "left").withColumn(root, F.coalesce(F.col(root), F.col(key)))
+    side = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    rooted = keyed.join(side, F.col(key) == F.col(node), "left").withColumn(root, F.coalesce(F.col(root), F.col(key)))
     order = Window.partitionBy(root).orderBy(col(id_col).asc_nulls_last(), F.col(key))
     kept = rooted.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
-    return kept.select(*[kept["`" + c.replace("`", "``") + "`"] for c in docs.columns])
+    return kept.select(*[kept[quoted(c)] for c in docs.columns])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latentrec.llm.common import col, fresh, shuffle_partitions, stored
+from latentrec.llm.common import col, free_prefix, quoted, shuffle_partitions, stored
 
 BLOCK_ROWS = 32
 PARTS = 1_000  # P: weights are multiples of 1 / P
@@ -86,25 +86,22 @@ def indexed_in_source(df: DataFrame, source_col: str, id_col: str, name: str) ->
     (partition, source) is summed up over partitions. The place of a row in
     its partition is fixed by writing the partitions down first.
     """
-    pid, mid, off, first, n = (fresh(df, x) for x in ("_pid", "_mid", "_off", "_first", "_n"))
+    own = free_prefix(df)
+    pid, mid, off, first, n, part, source = (own + x for x in ("pid", "mid", "off", "first", "n", "part", "source"))
     keys = [col(source_col).asc_nulls_first(), F.xxhash64(col(id_col)), col(id_col)]
     ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
     tagged = stored(
         ranged.select("*", F.spark_partition_id().alias(pid), F.monotonically_increasing_id().alias(mid)), "mix"
     )
-    sizes = tagged.groupBy(pid, col(source_col).alias("_s")).agg(F.count(F.lit(1)).alias(n), F.min(mid).alias(first))
-    before = Window.partitionBy("_s").orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(pid).alias("_p"), "_s", first, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
+    sizes = tagged.groupBy(pid, col(source_col).alias(source)).agg(F.count(F.lit(1)).alias(n), F.min(mid).alias(first))
+    before = Window.partitionBy(source).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(pid).alias(part), source, first, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
     # at most one row for each partition and one more for each source
-    joined = tagged.join(F.broadcast(sizes), (F.col(pid) == F.col("_p")) & col(source_col).eqNullSafe(F.col("_s")))
+    joined = tagged.join(F.broadcast(sizes), (F.col(pid) == F.col(part)) & col(source_col).eqNullSafe(F.col(source)))
     place = F.col(off) + F.col(mid) - F.col(first)
     return joined.select(*[tagged[c] for c in map(quoted, df.columns)], place.alias(name))
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def mix(
     df: DataFrame,
     targets: dict | None = None,
@@ -124,7 +121,8 @@ def mix(
     like any other; an empty table gives an empty mix.
     """
     spark = df.sparkSession
-    idx = fresh(df, "_idx")
+    own = free_prefix(df)
+    idx, s, w, taken, n_blocks, due, e, j = (own + x for x in ("idx", "s", "w", "slots", "blocks", "due", "e", "j"))
     names = [prefix + x for x in ADDED]
     clash = {c.lower() for c in df.columns} & set(names)
     if clash:
@@ -140,34 +138,33 @@ def mix(
     weights = integer_weights({s: targets[s] if targets else n**alpha for s, n in counts.items()}, parts)
     slots = one_period(weights)
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    slot_of = lambda s, j: j // weights[s] * parts + slots[s][j % weights[s]]
-    end = max((slot_of(s, b - 1) + 1 for s, b in blocks.items()), default=0)
+    slot_of = lambda src, b: b // weights[src] * parts + slots[src][b % weights[src]]
+    end = max((slot_of(src, n - 1) + 1 for src, n in blocks.items()), default=0)
     plan = [
-        (s, weights[s], slots[s], blocks[s], end // parts * weights[s] + sum(x < end % parts for x in slots[s]))
-        for s in counts
+        (src, weights[src], slots[src], blocks[src], end // parts * weights[src] + sum(x < end % parts for x in slots[src]))
+        for src in counts
     ]
     s_type = df.schema[source_col].dataType
     schema = T.StructType(
         [
-            T.StructField("_s", s_type),
-            T.StructField("_w", T.LongType()),
-            T.StructField("_slots", T.ArrayType(T.LongType())),
-            T.StructField("_blocks", T.LongType()),
-            T.StructField("_due", T.LongType()),
+            T.StructField(s, s_type),
+            T.StructField(w, T.LongType()),
+            T.StructField(taken, T.ArrayType(T.LongType())),
+            T.StructField(n_blocks, T.LongType()),
+            T.StructField(due, T.LongType()),
         ]
     )
     # a row for each source, at most ``parts`` slots in all
     side = F.broadcast(spark.createDataFrame(plan, schema))
-    joined = rows.join(side, col(source_col).eqNullSafe(F.col("_s")))
+    joined = rows.join(side, col(source_col).eqNullSafe(F.col(s)))
     b0 = F.floor(F.col(idx) / block_rows)
-    epochs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_due") - 1 - b0) / F.col("_blocks")))
-    long = joined.select("*", F.explode(epochs).alias("_e"))
-    j = (b0 + F.col("_e") * F.col("_blocks")).cast("bigint")
-    long = long.select("*", j.alias("_j"))
-    slot = F.floor(F.col("_j") / F.col("_w")) * parts + F.element_at("_slots", (F.col("_j") % F.col("_w") + 1).cast("int"))
-    release = F.expr(f"_j * {parts} div _w")
-    deadline = F.expr(f"((_j + 1) * {parts} + _w - 1) div _w")
-    values = (slot, F.col(idx) % block_rows, F.col("_e"), F.col("_j"), release, deadline)
+    epochs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(due) - 1 - b0) / F.col(n_blocks)))
+    long = joined.select("*", F.explode(epochs).alias(e))
+    long = long.select("*", (b0 + F.col(e) * F.col(n_blocks)).cast("bigint").alias(j))
+    slot = F.floor(F.col(j) / F.col(w)) * parts + F.element_at(taken, (F.col(j) % F.col(w) + 1).cast("int"))
+    release = F.expr(f"{j} * {parts} div {w}")
+    deadline = F.expr(f"(({j} + 1) * {parts} + {w} - 1) div {w}")
+    values = (slot, F.col(idx) % block_rows, F.col(e), F.col(j), release, deadline)
     return long.select(
         *[rows[c] for c in map(quoted, df.columns)], *[v.cast("bigint").alias(x) for v, x in zip(values, names)]
     )

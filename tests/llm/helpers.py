@@ -7,7 +7,7 @@ import random
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 # Columns that clash with names the operators use inside.
-EXTRA = ("score", "key", "root", "n", "t", "i", "rank", "mix_slot", "_idx", "bin_id", "class_id", "a.b")
+EXTRA = ("score", "key", "root", "n", "t", "i", "rank", "mix_slot", "_idx", "bin_id", "class_id", "a.b", "_x_s", "_n", "_s", "_x", "_p", "__index_level_0__")
 
 
 def docs_frame(spark, rows, extra: bool = False):
