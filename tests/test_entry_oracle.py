@@ -2,7 +2,7 @@
 DuckDB twin on the smallest test tables (the driver does the same at sf0.01)."""
 
 import math
-import os
+import re
 
 import duckdb
 import pytest
@@ -43,7 +43,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_sql_or_is_listed():
     qs, sqls = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(sqls) <= set(qs)
-    assert set(qs) - set(sqls) == {"fit_hashed_seed"}
+    assert not [q for q in set(qs) - set(sqls) if not re.match(r"op\d+_|pipeline$", q)]
 
 
 @pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
