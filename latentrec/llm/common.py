@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from latentrec.session import checkpoint_dir
 
 ENDS = re.compile(r"^\W+|\W+$")
+MARKS = ".,;:!?\"'()"
 BETWEEN_BLANKS = re.compile(r"\S+")
 U64 = np.uint64
 
@@ -106,7 +107,9 @@ class WordHasher(dict):
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        word = ENDS.sub("", raw.lower())
+        word = raw.lower().strip(MARKS)
+        if not word.isalnum():
+            word = ENDS.sub("", word)
         h = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
         if len(raw) <= 64:
             self[raw] = h

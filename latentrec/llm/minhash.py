@@ -38,7 +38,7 @@ from latentrec.llm.common import U64, WordHasher, col, components, free_prefix,
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 3  # a pair at 0.8 shares a bucket with probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992
+BANDS, ROWS = 7, 2  # a pair at 0.8 shares a bucket with probability 1 - (1 - 0.8 ** 2) ** 7 = 0.9992
 FEATURES = 2**20
 IDF_POWER = 0.5
 CHUNK = 2**14  # features in one row of counts
@@ -64,13 +64,13 @@ def feature_counts(texts: DataFrame, k: int = SHINGLE) -> tuple[np.ndarray, int]
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, df, n = WordHasher(), np.zeros(FEATURES, np.int64), 0
+        words, df, n = WordHasher(), np.zeros(FEATURES, np.int32), 0
         for b in batches:
             for t in b["t"]:
                 n += 1
                 df[np.unique(feature_of(shingles(words.hashes(t), k)))] += 1
         part = TaskContext.get().partitionId()
-        yield pd.DataFrame(_chunks(df, part) + [(-1, part, zlib.compress(np.array([n]).tobytes()))], columns=["c", "p", "v"])
+        yield pd.DataFrame(_chunks(df.astype(np.int64), part) + [(-1, part, zlib.compress(np.array([n]).tobytes()))], columns=["c", "p", "v"])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -134,13 +134,13 @@ class Sampler:
     """Improved consistent weighted sampling with hashed variates.
 
     Every (shingle, sample) pair draws r and c from Gamma(2, 1), by inverse
-    distribution tables of 2 ** 16 steps, and beta uniformly, from one 64-bit
+    distribution tables of 2 ** 12 steps, and beta uniformly, from one 64-bit
     hash; the sample is the shingle of least ``ln c - ln y - r`` together with
     its level t.
     """
 
-    STEPS = 2**16
-    BLOCK = 4_096
+    STEPS = 2**12
+    BLOCK = 1_024  # shingles at a time: the working arrays stay in the processor's cache
 
     def __init__(self, samples: int, seed: int = 1):
         p = (np.arange(self.STEPS) + 0.5) / self.STEPS
@@ -163,12 +163,12 @@ class Sampler:
         for at in range(0, len(h), self.BLOCK):
             hb, lw = h[at : at + self.BLOCK], ln_w[at : at + self.BLOCK]
             x = mix(hb[None, :] ^ self.seeds[:, None])
-            i = (x & U64(0xFFFF)).astype(np.int32)
-            j = ((x >> U64(16)) & U64(0xFFFF)).astype(np.int32)
+            i = (x & U64(0xFFF)).astype(np.int32)
+            j = ((x >> U64(12)) & U64(0xFFF)).astype(np.int32)
             beta = (x >> U64(40)).astype(np.float32) * np.float32(2.0**-24)
             r = self.r[i]
             t = np.floor(lw[None, :] * self.inv_r[i] + beta)
-            a = self.ln_c[j] - r * (t - beta) - r
+            a = self.ln_c[j] - r * (t - beta + 1)
             pick = a.argmin(1)
             least = a[k, pick]
             new = least < best
