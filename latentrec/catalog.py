@@ -200,29 +200,28 @@ def q_score_quantile(spark, sf):
     return quantile_table(scores, "score", QUANTILE).select("p", _r("value", 12))
 
 
-def _predictions(df, with_z=False):
+def _predictions(threshold, df, with_z=False, digits=9):
+    """Score and threshold are compared as rounded, so that ties at the threshold agree between engines."""
     keys = [USER, ITEM] + (["z"] if with_z else [])
-    return df.select(*keys, _r("score"), "recommended")
+    flagged = F.round("score", digits) >= F.round(F.lit(float(threshold)), digits)
+    return df.select(*keys, _r("score", digits), flagged.alias("recommended"))
 
 
 def q_predict_fixed(spark, sf):
-    _, p = predict(_model(spark, sf, ITER_SCORING), threshold=FIXED_THRESHOLD)
-    return _predictions(p)
+    return _predictions(*predict(_model(spark, sf, ITER_SCORING), threshold=FIXED_THRESHOLD))
 
 
 def q_predict_quantile(spark, sf):
-    _, p = predict(_model(spark, sf, ITER_SCORING), quantile=QUANTILE)
-    return _predictions(p)
+    return _predictions(*predict(_model(spark, sf, ITER_SCORING), quantile=QUANTILE))
 
 
 def q_predict_per_class(spark, sf):
-    _, p = predict(_model(spark, sf, ITER_SCORING), quantile=QUANTILE, per_class=True)
-    return _predictions(p, with_z=True)
+    return _predictions(*predict(_model(spark, sf, ITER_SCORING), quantile=QUANTILE, per_class=True), with_z=True)
 
 
 def q_recommend(spark, sf):
     rec = recommend(_pairs(spark, sf), RECOMMEND_K, RECOMMEND_ITERATIONS, quantile=QUANTILE, init="weighted")
-    return rec.predictions.select(USER, ITEM, _r("score", 12), "recommended")
+    return _predictions(rec.threshold, rec.predictions, digits=12)
 
 
 def q_brand_p_item_given_class(spark, sf):
@@ -453,13 +452,14 @@ ORACLE_SQL: dict[str, str] = {
     "score_quantile": _scoring(
         f"SELECT CAST({QUANTILE} AS DOUBLE) AS p, round(quantile_cont(score, {QUANTILE}), 12) AS value FROM scores"
     ),
-    "predict_fixed": _scoring(f"{_GRID_SCORES}, score >= {FIXED_THRESHOLD} AS recommended FROM scores"),
+    "predict_fixed": _scoring(f"{_GRID_SCORES}, round(score, 9) >= {FIXED_THRESHOLD} AS recommended FROM scores"),
     "predict_quantile": _scoring(
-        f"{_GRID_SCORES}, score >= (SELECT quantile_cont(score, {QUANTILE}) FROM scores) AS recommended FROM scores"
+        f"{_GRID_SCORES}, round(score, 9) >= (SELECT round(quantile_cont(score, {QUANTILE}), 9) FROM scores) "
+        "AS recommended FROM scores"
     ),
     "predict_per_class": _scoring(
         "SELECT user_id, item_id, z, round(score, 9) AS score, "
-        f"score >= (SELECT quantile_cont(score, {QUANTILE}) FROM comp) AS recommended FROM comp",
+        f"round(score, 9) >= (SELECT round(quantile_cont(score, {QUANTILE}), 9) FROM comp) AS recommended FROM comp",
         extra=[
             "comp AS (SELECT g.user_id, g.item_id, u.z, u.pzu * i.psz AS score FROM grid g "
             "JOIN pzu u ON g.user_id = u.user_id JOIN psz i ON g.item_id = i.item_id AND u.z = i.z)"
@@ -467,7 +467,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "recommend": _scoring(
         "SELECT user_id, item_id, round(score, 12) AS score, "
-        f"score >= (SELECT quantile_cont(score, {QUANTILE}) FROM scores) AS recommended FROM scores",
+        f"round(score, 12) >= (SELECT round(quantile_cont(score, {QUANTILE}), 12) FROM scores) AS recommended FROM scores",
         k=RECOMMEND_K,
         n_iter=RECOMMEND_ITERATIONS,
     ),

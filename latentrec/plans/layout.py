@@ -42,9 +42,16 @@ USER_RANK = "_ur"
 ITEM_RANK = "_ir"
 
 
-def factor_row_bytes(k: int) -> int:
+# A hash join's build side cannot spill: beyond this many bytes in a partition
+# the join is left to the planner (a sort-merge join).
+HASH_BUILD_LIMIT = 128 * 1024 * 1024
+SALT_ROW_BYTES = 64
+STRING_KEY_BYTES = 56
+
+
+def factor_row_bytes(k: int, integral_ids: bool = True) -> int:
     """Rough in-memory size of one K-wide parameter row (key, K doubles, header)."""
-    return 8 * (k + 4)
+    return 8 * (k + 4) + (0 if integral_ids else STRING_KEY_BYTES)
 
 
 def cut_lineage(df: DataFrame, name: str = "state") -> DataFrame:
@@ -97,6 +104,15 @@ class PairLayout:
     item_keys: list[str] = field(default_factory=lambda: [ITEM])
     user_rank: str = USER
     item_rank: str = ITEM
+    row_bytes: int = 0
+    broadcast_limit: int = DEFAULT_BROADCAST_LIMIT
+
+    def _side(self, factors: DataFrame, salts: DataFrame | None, key: str, salt: str, rows: int) -> DataFrame:
+        """A parameter side that is shuffled: hot rows replicated, hashed only if it surely fits."""
+        small = self.partitions * SALT_ROW_BYTES <= max(self.broadcast_limit, DEFAULT_BROADCAST_LIMIT)
+        side = _replicate_hot(factors, salts, key, salt, small)
+        fits = rows * self.row_bytes / max(1, self.partitions) <= HASH_BUILD_LIMIT
+        return side.hint("shuffle_hash") if fits else side
 
     def attach(self, users: DataFrame, items: DataFrame) -> DataFrame:
         """Join the pairs with one parameter row per user and per item."""
@@ -104,13 +120,11 @@ class PairLayout:
         if self.broadcast_users:
             joined = joined.join(F.broadcast(users), USER)
         else:
-            side = _replicate_hot(users, self.user_salts, USER, USER_SALT)
-            joined = joined.join(side.hint("shuffle_hash"), self.user_keys)
+            joined = joined.join(self._side(users, self.user_salts, USER, USER_SALT, self.n_users), self.user_keys)
         if self.broadcast_items:
             joined = joined.join(F.broadcast(items), ITEM)
         else:
-            side = _replicate_hot(items, self.item_salts, ITEM, ITEM_SALT)
-            joined = joined.join(side.hint("shuffle_hash"), self.item_keys)
+            joined = joined.join(self._side(items, self.item_salts, ITEM, ITEM_SALT, self.n_items), self.item_keys)
         return joined
 
     def close(self) -> None:
@@ -135,12 +149,12 @@ class PairLayout:
         }
 
 
-def _replicate_hot(factors: DataFrame, salts: DataFrame | None, key: str, salt: str) -> DataFrame:
-    """Give every parameter row one copy per sub-key of its (hot) key."""
+def _replicate_hot(factors: DataFrame, salts: DataFrame | None, key: str, salt: str, small: bool) -> DataFrame:
+    """Give every parameter row one copy per sub-key of its (hot) key; ``small``: the hot keys may be broadcast."""
     if salts is None:
         return factors
     last = F.coalesce(F.col("_n"), F.lit(1)).cast("bigint") - 1
-    return factors.join(F.broadcast(salts), key, "left").select(
+    return factors.join(F.broadcast(salts) if small else salts, key, "left").select(
         *factors.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias(salt)
     )
 
@@ -211,7 +225,7 @@ def plan_layout(
     ).first()
     n_pairs = int(s["n_pairs"] or 0)
     n_users, n_items = int(s["n_users"]), int(s["n_items"])
-    row_bytes = factor_row_bytes(k)
+    row_bytes = factor_row_bytes(k, ids_are_integral(pairs))
     bcast_u = n_users * row_bytes <= broadcast_limit
     bcast_i = n_items * row_bytes <= broadcast_limit
     # Bucketed pairs are only reused by a join whose other side is shuffled
@@ -225,20 +239,22 @@ def plan_layout(
     if not bcast_u:  # buckets may hold more than one partition's worth, but not be more than the session allows
         parts = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     target = max(1, math.ceil(n_pairs / parts))
+    # fewer keys than partitions can be hot
+    small = parts * SALT_ROW_BYTES <= max(broadcast_limit, DEFAULT_BROADCAST_LIMIT)
 
     laid = pairs
     user_keys, item_keys = [USER], [ITEM]
     user_salts = item_salts = None
     if not bcast_u and (s["max_u"] or 0) > target:
         user_salts = _hot_keys(degrees, USER_ROW, USER, target)
-        laid = laid.join(F.broadcast(user_salts), USER, "left").select(
+        laid = laid.join(F.broadcast(user_salts) if small else user_salts, USER, "left").select(
             USER, ITEM,
             F.when(F.col("_n") > 1, F.pmod(F.xxhash64(ITEM), F.col("_n"))).otherwise(0).cast("bigint").alias(USER_SALT),
         )
         user_keys = [USER, USER_SALT]
     if not bcast_i and (s["max_i"] or 0) > target:
         item_salts = _hot_keys(degrees, ITEM_ROW, ITEM, target)
-        laid = laid.join(F.broadcast(item_salts), ITEM, "left").select(
+        laid = laid.join(F.broadcast(item_salts) if small else item_salts, ITEM, "left").select(
             *[c for c in laid.columns],
             F.when(F.col("_n") > 1, F.pmod(F.xxhash64(USER), F.col("_n"))).otherwise(0).cast("bigint").alias(ITEM_SALT),
         )
@@ -268,6 +284,8 @@ def plan_layout(
         item_keys=item_keys,
         user_rank=user_rank,
         item_rank=item_rank,
+        row_bytes=row_bytes,
+        broadcast_limit=broadcast_limit,
     )
 
 
