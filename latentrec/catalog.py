@@ -200,11 +200,11 @@ def q_score_quantile(spark, sf):
     return quantile_table(scores, "score", QUANTILE).select("p", _r("value", 12))
 
 
-def _predictions(threshold, df, with_z=False, digits=9):
+def _predictions(threshold, df, with_z=False):
     """Score and threshold are compared as rounded, so that ties at the threshold agree between engines."""
     keys = [USER, ITEM] + (["z"] if with_z else [])
-    flagged = F.round("score", digits) >= F.round(F.lit(float(threshold)), digits)
-    return df.select(*keys, _r("score", digits), flagged.alias("recommended"))
+    flagged = F.round("score", 9) >= F.round(F.lit(float(threshold)), 9)
+    return df.select(*keys, _r("score"), flagged.alias("recommended"))
 
 
 def q_predict_fixed(spark, sf):
@@ -221,7 +221,7 @@ def q_predict_per_class(spark, sf):
 
 def q_recommend(spark, sf):
     rec = recommend(_pairs(spark, sf), RECOMMEND_K, RECOMMEND_ITERATIONS, quantile=QUANTILE, init="weighted")
-    return _predictions(rec.threshold, rec.predictions, digits=12)
+    return rec.predictions.select(USER, ITEM, _r("score", 12), "recommended")
 
 
 def q_brand_p_item_given_class(spark, sf):
@@ -467,7 +467,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "recommend": _scoring(
         "SELECT user_id, item_id, round(score, 12) AS score, "
-        f"round(score, 12) >= (SELECT round(quantile_cont(score, {QUANTILE}), 12) FROM scores) AS recommended FROM scores",
+        f"score >= (SELECT quantile_cont(score, {QUANTILE}) FROM scores) AS recommended FROM scores",
         k=RECOMMEND_K,
         n_iter=RECOMMEND_ITERATIONS,
     ),
