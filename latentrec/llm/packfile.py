@@ -167,7 +167,7 @@ def write_token_files(
     """Encode whole texts, append ``end_id`` to each, and write segments to ``path``.
 
     Documents are range-partitioned by id (nulls first, then ascending; rows
-    of equal ids by text), so the files are in that order and one part is one
+    of equal ids by a hash of the text), so the files are in that order and one part is one
     task's rows whatever the sizes of sources. A null text is an empty one: it
     gets the end id alone. Returns the written table.
     """
@@ -198,9 +198,9 @@ def write_token_files(
         if ids:
             yield flush()
 
-    ordered = rows.repartitionByRange(n, F.col("i").asc_nulls_first(), F.col("t")).sortWithinPartitions(
-        F.col("i").asc_nulls_first(), "t"
-    )
+    # a hash of the text, for bounds of the ranges are sampled on the driver
+    order = (F.col("i").asc_nulls_first(), F.xxhash64("t"))
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "t")
     # ids travel as text, for pandas has no nullable long
     ordered = ordered.withColumn("i", F.col("i").cast("string"))
     out = ordered.mapInPandas(run, "part int, seq int, before long, n_ids long, ids array<string>, payload binary")
