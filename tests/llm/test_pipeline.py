@@ -25,7 +25,8 @@ def corpus(spark, tmp_path_factory):
     rows += [(330, None, None), (331, "", "s2"), (332, words(5_000, 7), "s2"), (333, words(5_000, 7), "s1")]
     folder = str(tmp_path_factory.mktemp("sf"))
     docs_frame(spark, rows).write.parquet(os.path.join(folder, "documents.parquet"))
-    labels = [(i, 1, int(i % 5 == 0)) for i in range(240)]
+    # some documents of every vocabulary are labelled, or the classifier cannot know it
+    labels = [(i, 1, int(i < 240 and i % 5 == 0)) for i in range(320)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(os.path.join(folder, "labels.parquet"))
     return rows, folder
 
