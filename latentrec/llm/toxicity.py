@@ -1,7 +1,9 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention.
 
-A text is read in overlapping windows of ``WINDOW`` words. A word enters as the
-sum of a word embedding and the mean of the embeddings of its character
+A text is read in overlapping windows of ``WINDOW`` words. What stands between
+blanks is a word; a run of more than ``MAX_WORD`` characters (unspaced scripts,
+joined or minified text) is read as many words, see ``read_words``, so all of its
+characters are in windows. A word enters as the sum of a word embedding and the mean of the embeddings of its character
 n-grams (both hashed), so unseen words are judged by their letters. Two gated
 recurrent units read a window forwards and backwards, attention pools their
 states into one vector, and a logistic output scores the window. The score of
@@ -36,9 +38,10 @@ TRAIN_ROWS = 3_000  # texts of each label, at most
 CALIBRATION = 3  # every third of them sets the threshold instead of training
 TRAIN_CHARS = 4_000  # characters of a training text, at most
 STEPS, POSITIVE, NEGATIVE = 300, 8, 24
-MAX_WORD = 40  # letters of a word that its n-grams cover
+MAX_WORD = 40  # characters of a run without blanks that is read as one word
 
 ENDS = re.compile(r"^\W+|\W+$")
+PARTS = re.compile(r"[^\W_]+[\W_]*|[\W_]+")
 
 
 # ---- input: words and their character n-grams ------------------------------------
@@ -49,9 +52,9 @@ def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A word is read with a mark before and after it.
     """
-    marked = "".join(f"\x02{w[:MAX_WORD]}\x03" for w in words)
+    marked = "".join(f"\x02{w}\x03" for w in words)
     c = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
-    length = np.array([min(len(w), MAX_WORD) + 2 for w in words], np.int64)
+    length = np.array([len(w) + 2 for w in words], np.int64)
     owner = np.repeat(np.arange(len(words)), length)
     left = np.repeat(np.cumsum(length), length) - np.arange(len(c))  # characters to the word's end
     found, whose = [], []
@@ -75,6 +78,23 @@ def word_slots(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in words], np.int64)
 
 
+def read_words(text: str) -> list[str]:
+    """Words of a text, in order: what stands between blanks, long runs in pieces.
+
+    A run longer than ``MAX_WORD`` is cut after punctuation and underscores, and
+    what is longer still into pieces of ``MAX_WORD`` that overlap, so that every
+    n-gram of the run lies whole in a piece.
+    """
+    found = text.split()
+    if max(map(len, found), default=0) <= MAX_WORD:
+        return found
+    out, step = [], MAX_WORD - max(GRAMS) + 1
+    for w in found:
+        for p in PARTS.findall(w) if len(w) > MAX_WORD else (w,):
+            out += [p[a : a + MAX_WORD] for a in range(0, max(1, len(p) - MAX_WORD + step), step)]
+    return out
+
+
 def normal(raw: str) -> str:
     return ENDS.sub("", raw.lower()) or raw
 
@@ -220,7 +240,7 @@ class Reader:
         """Numbers of each text's words, rows of ``table``."""
         if len(self.number) > self.LIMIT:
             self.clear()
-        split = [t.split() for t in texts]
+        split = [read_words(t) for t in texts]
         new = [w for w in set().union(*split) if w not in self.number]
         at = len(self.number)
         if at + len(new) > len(self.table):
@@ -266,7 +286,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 5
         net.out[:], net.bias[:] = 0, 4.0 if len(pos) else -4.0  # one label only: nothing to tell apart
         return net
     rng = np.random.default_rng(seed)
-    split = [[normal(w) for w in t.split()] for t in texts]
+    split = [[normal(w) for w in read_words(t)] for t in texts]
     vocabulary = sorted(set().union(*split))
     number = {w: i for i, w in enumerate(vocabulary)}
     docs = [np.array([number[w] for w in s], np.int64) for s in split]

@@ -85,6 +85,27 @@ def test_score_is_the_highest_window(net):
     assert tox.score_texts(reader, ["", long, text(rng, 30), "x"])[[1, 0, 3]] == pytest.approx(alone, abs=1e-5)
 
 
+def test_runs_without_blanks_are_read_whole(net):
+    rng = random.Random(4)
+    clean, tail = text(rng, 150), f"{text(rng, 100)} {BAD}en {BAD}osh {BAD}al"
+    score = lambda t: tox.score_texts(tox.Reader(net), [t])[0]
+    for mark in "-./":
+        assert score(clean.replace(" ", mark)) == pytest.approx(score(clean), abs=1e-5)
+        assert score(tail.replace(" ", mark)) == pytest.approx(score(tail), abs=1e-5)
+    assert score(clean) < 0.5 < score(tail)
+    # no marks at all: letters near the end still decide
+    run = clean.replace(" ", "")
+    assert score(run) < 0.5 < score(run + f"{BAD}en{BAD}osh{BAD}al" * 4)
+    for n in (1, 40, 41, 77, 78, 1_000):
+        run = "".join(rng.choices("abcdefgh", k=n))
+        pieces = tox.read_words(run)
+        assert max(map(len, pieces)) <= tox.MAX_WORD
+        for k in tox.GRAMS:
+            inside = {p[i : i + k] for p in pieces for i in range(len(p) - k + 1)}
+            assert inside == {run[i : i + k] for i in range(n - k + 1)}
+    assert tox.read_words("a_b " + "x" * 50 + "," + "y" * 3) == ["a_b", "x" * 40, "x" * 13 + ",", "yyy"]
+
+
 def test_held_out_accuracy(spark, net, labelled):
     rows, marks = labelled
     out = tox.score(docs_frame(spark, rows), net).collect()
