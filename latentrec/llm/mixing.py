@@ -5,8 +5,12 @@ Every source's rows are cut into blocks of ``block_rows``. A source of weight
 placed by ``ceil((j + 1) / w)``; earliest deadline first over the released
 blocks then keeps every source within less than one block of ``w * t`` after
 any ``t`` slots. Weights are multiples of ``1 / P``, so the schedule repeats
-every ``P`` slots: one period is scheduled (``P`` is a parameter, so this does
-not grow with the data) and block ``j`` of a source follows by arithmetic.
+every ``P`` slots: one period is scheduled and block ``j`` of a source follows
+by arithmetic. Unless given, ``P`` is the length of the mix by the exact targets.
+A weight is then off by less than ``1 / P``, so rounding moves no source by more
+than a block over the whole mix, and any number of sources has a place. The
+driver counts through the blocks (not the rows) of one period; the schedule
+itself is a table that the rows are joined with.
 
 No row is left out. The mix ends at the first slot by which every source has
 been placed whole; a source that is short of its weight by then starts its next
@@ -18,7 +22,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +34,8 @@ from pyspark.sql import types as T
 from latentrec.llm.common import col, free_prefix, quoted, shuffle_partitions, stored
 
 BLOCK_ROWS = 32
-PARTS = 1_000  # P: weights are multiples of 1 / P
+PARTS = 1_000  # P of ``integer_weights`` by itself: weights are multiples of 1 / P
 ALPHA = 0.9  # default targets: source sizes to this power
-MAX_SOURCES = 500  # a mix has a weight for each; more is an error
 ADDED = ("slot", "place", "epoch", "block", "release", "deadline")
 
 
@@ -53,6 +60,13 @@ def integer_weights(weights: dict, parts: int = PARTS) -> dict:
     return out
 
 
+def mix_length(weights: dict, blocks: dict) -> int:
+    """Slots after which every source has been placed whole, by its exact weight."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return max((math.ceil(blocks[s] * total / w) for s, w in exact.items()), default=1)
+
+
 def window(j: int, p: int, parts: int) -> tuple[int, int]:
     """Release slot and deadline of block ``j`` of a source with ``p`` of ``parts``."""
     return j * parts // p, -((j + 1) * -parts // p)
@@ -108,7 +122,7 @@ def mix(
     source_col: str = "source",
     id_col: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
-    parts: int = PARTS,
+    parts: int | None = None,
     alpha: float = ALPHA,
     prefix: str = "mix_",
 ) -> DataFrame:
@@ -116,52 +130,57 @@ def mix(
 
     Sort by (slot, place) for the order of the mix. ``targets`` maps each source to its
     weight (any positive scale); without it sources weigh as their row counts
-    to the power ``alpha``. A null source is a source of its own (key None).
+    to the power ``alpha``. ``parts`` fixes the period ``P`` (weights are then rounded to
+    ``1 / P``); without it the period follows from the targets. A null source is a source of its own (key None).
     A source without a target is an error, not a loss. Repeated rows are rows
     like any other; an empty table gives an empty mix.
     """
     spark = df.sparkSession
     own = free_prefix(df)
-    idx, s, w, taken, n_blocks, due, e, j = (own + x for x in ("idx", "s", "w", "slots", "blocks", "due", "e", "j"))
+    idx, s, k, w, n_blocks, due, e, j = (own + x for x in ("idx", "s", "k", "w", "blocks", "due", "e", "j"))
+    k2, turn, at = (own + x for x in ("k2", "turn", "at"))
     names = [prefix + x for x in ADDED]
     clash = {c.lower() for c in df.columns} & set(names)
     if clash:
         raise ValueError(f"the table has columns {sorted(clash)}: choose another prefix")
     rows = indexed_in_source(df, source_col, id_col, idx)
-    sizes = rows.groupBy(col(source_col).alias("s")).agg((F.max(idx) + 1).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: mix them by a coarser column")
+    sizes = rows.groupBy(col(source_col).alias("s")).agg((F.max(idx) + 1).alias("n")).collect()
     counts = {r["s"]: r["n"] for r in sizes}
     missing = [s for s in counts if targets is not None and s not in targets]
     if missing:
         raise ValueError(f"no target weight for {missing}")
-    weights = integer_weights({s: targets[s] if targets else n**alpha for s, n in counts.items()}, parts)
-    slots = one_period(weights)
+    wanted = {s: targets[s] if targets else n**alpha for s, n in counts.items()}
+    if any(not x > 0 or math.isinf(x) for x in wanted.values()):
+        raise ValueError("target weights must be positive and finite")
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    parts = parts or mix_length(wanted, blocks)
+    weights = integer_weights(wanted, parts)
+    slots = one_period(weights)
     slot_of = lambda src, b: b // weights[src] * parts + slots[src][b % weights[src]]
     end = max((slot_of(src, n - 1) + 1 for src, n in blocks.items()), default=0)
     plan = [
-        (src, weights[src], slots[src], blocks[src], end // parts * weights[src] + sum(x < end % parts for x in slots[src]))
-        for src in counts
+        (src, i, weights[src], blocks[src], end // parts * weights[src] + bisect_left(slots[src], end % parts))
+        for i, src in enumerate(counts)
     ]
     s_type = df.schema[source_col].dataType
-    schema = T.StructType(
-        [
-            T.StructField(s, s_type),
-            T.StructField(w, T.LongType()),
-            T.StructField(taken, T.ArrayType(T.LongType())),
-            T.StructField(n_blocks, T.LongType()),
-            T.StructField(due, T.LongType()),
-        ]
-    )
-    # a row for each source, at most ``parts`` slots in all
-    side = F.broadcast(spark.createDataFrame(plan, schema))
+    longs = [T.StructField(x, T.LongType()) for x in (k, w, n_blocks, due)]
+    # a row for each source
+    side = F.broadcast(spark.createDataFrame(plan, T.StructType([T.StructField(s, s_type), *longs])))
+    # a row for each slot of the period: the source, the block's turn in the period, the slot
+    turns = [slots[src] for src in counts]
+    period = {
+        k2: np.repeat(np.arange(len(turns)), [len(x) for x in turns]),
+        turn: np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in turns]]),
+        at: np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in turns]]),
+    }
+    schedule = stored(spark.createDataFrame(pa.table({x: pa.array(v, pa.int64()) for x, v in period.items()})), "schedule")
     joined = rows.join(side, col(source_col).eqNullSafe(F.col(s)))
     b0 = F.floor(F.col(idx) / block_rows)
     epochs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(due) - 1 - b0) / F.col(n_blocks)))
     long = joined.select("*", F.explode(epochs).alias(e))
     long = long.select("*", (b0 + F.col(e) * F.col(n_blocks)).cast("bigint").alias(j))
-    slot = F.floor(F.col(j) / F.col(w)) * parts + F.element_at(taken, (F.col(j) % F.col(w) + 1).cast("int"))
+    long = long.join(schedule, (F.col(k) == F.col(k2)) & (F.expr(f"{j} % {w}") == F.col(turn)))
+    slot = F.expr(f"{j} div {w}") * parts + F.col(at)
     release = F.expr(f"{j} * {parts} div {w}")
     deadline = F.expr(f"(({j} + 1) * {parts} + {w} - 1) div {w}")
     values = (slot, F.col(idx) % block_rows, F.col(e), F.col(j), release, deadline)

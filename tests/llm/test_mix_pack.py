@@ -63,6 +63,25 @@ def test_mix_keeps_all_rows_and_the_weights(spark, targets):
         assert all(own[e] == n for e in range(max(own)))
 
 
+@pytest.mark.parametrize("small", [60, 700])
+def test_mix_meets_small_targets_of_many_sources(spark, small):
+    sizes = {"hot": 20_000, **{f"s{i}": 2 for i in range(small)}}
+    rows = [(f"{s}-{i}", s) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id string, source string")
+    out = mixing.mix(df, block_rows=4).collect()
+    assert {r.doc_id for r in out if r.mix_epoch == 0} == {i for i, _ in rows}
+    slots = defaultdict(set)
+    for r in out:
+        assert r.mix_release <= r.mix_slot < r.mix_deadline
+        slots[r.source].add(r.mix_slot)
+    assert sorted(t for v in slots.values() for t in v) == list(range(max(r.mix_slot for r in out) + 1))
+    total = sum(n**mixing.ALPHA for n in sizes.values())
+    for s, v in slots.items():
+        share = sizes[s] ** mixing.ALPHA / total
+        for n, t in enumerate(sorted(v)):  # just before and after each of its slots
+            assert abs(n - share * t) < 2 and abs(n + 1 - share * (t + 1)) < 2
+
+
 def test_mix_of_odd_rows(spark):
     rows = odd_rows()
     df = docs_frame(spark, rows, extra=True)
