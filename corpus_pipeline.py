@@ -10,8 +10,10 @@ that the one before it kept:
 4. ``mix``: sources are interleaved by their target weights. All documents
    stay; those of sources that are short of their weight come again in later
    epochs, as rows of their own. Rows are written in the order of the mix.
-5. ``pack``: documents are cut and packed into sequences. Repeats of a document
-   are one duplicate cluster, so they never share a sequence.
+5. ``pack``: documents are cut and packed into sequences, run by run of the mix.
+   The order of the mix is that of the written rows; sequences in the order of
+   ``bin_id`` follow it. Repeats of a document are one duplicate cluster, so they
+   never share a sequence.
 
 All stages but the last return the columns of ``documents``. SQL can express
 neither the classifier nor the near-duplicate classes, so there is no
@@ -51,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, ordered=True)
 
 
 STAGES = [

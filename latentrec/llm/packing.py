@@ -12,6 +12,9 @@ clusters, and is incompatible with a piece
 
 Pieces are dealt to shards by a hash, so a shard has a bounded expected size
 whatever the sizes of sources and clusters; each shard is packed on its own.
+With ``ordered`` the rows' order counts: a shard is a run of neighbouring rows,
+and bins are numbered by the mean place of what they hold, so that the sequences
+in the order of ``bin_id`` follow the order of the rows.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latentrec.llm.common import col, shuffle_partitions
+from latentrec.llm.common import col, shuffle_partitions, stored
 
 CAPACITY = 2_048
 PER_SOURCE = 4
@@ -105,6 +109,36 @@ def pack_shard(
     return out
 
 
+def numbered(docs: DataFrame, columns: list[Column], place: str) -> DataFrame:
+    """``columns`` of ``docs`` and ``place``: each row's place in the written order, from 0.
+
+    Tables are written in order part by part, so the order is that of the file
+    names and of the rows in a file; one count a file is summed up over files.
+    A table that is not plainly read from files is written first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return numbered(stored(docs, "ordered"), columns, place)
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select(*columns, meta["file_name"].alias("file"), meta["row_index"].alias("row"))
+    sizes = rows.groupBy(F.col("file").alias("of")).agg((F.max("row") + 1).alias("rows"))
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("of", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("off"))
+    joined = rows.join(F.broadcast(sizes), F.col("file") == F.col("of"))
+    return joined.withColumn(place, F.col("off") + F.col("row")).drop("file", "row", "of", "off")
+
+
+def in_order(bins: list[int], places: np.ndarray) -> np.ndarray:
+    """New numbers of ``bins``: by the mean of their pieces' places."""
+    b = np.asarray(bins)
+    mean = np.bincount(b, places) / np.bincount(b)
+    rank = np.empty(len(mean), np.int64)
+    rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+    return rank[b]
+
+
 def pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
@@ -115,6 +149,7 @@ def pack(
     source_col: str = "source",
     cluster: Column | None = None,
     length: Column | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """``(doc_id, source, piece, start, n_words, bin_id, bin_offset)``, a row per piece.
 
@@ -122,18 +157,21 @@ def pack(
     duplicate clusters are copies up to letter case and blanks unless
     ``cluster`` gives others (null: in no cluster). Empty and null texts are
     pieces of length 0 that conflict with nothing. A null source is a source;
-    null ids and repeated rows are packed like any other row.
+    null ids and repeated rows are packed like any other row. ``ordered``: runs
+    of ``shard_pieces`` neighbouring rows of ``docs``, as they are written, are
+    packed together, and bins are numbered in the rows' order.
     """
     if capacity < 1 or per_source < 1:
         raise ValueError("capacity and per_source must be at least 1")
     text = col(text_col)
     n = F.coalesce(length if length is not None else word_count(text), F.lit(0)).cast("bigint")
-    items = docs.select(
+    columns = [
         col(id_col).alias("doc_id"),
         col(source_col).cast("string").alias("source"),
         (cluster if cluster is not None else copy_cluster(text)).alias("c"),
         n.alias("n"),
-    )
+    ]
+    items = numbered(docs, columns, "place") if ordered else docs.select(*columns, F.lit(0).cast("bigint").alias("place"))
     # full pieces, then the rest; a text that fills its pieces exactly has no rest
     last = F.greatest(F.lit(0), F.expr(f"(n + {capacity - 1}) div {capacity}") - 1).cast("bigint")
     pieces = items.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
@@ -141,22 +179,25 @@ def pack(
         "doc_id",
         "source",
         F.when(F.col("n") > 0, F.col("c")).alias("c"),
+        "place",
         "piece",
         (F.col("piece") * capacity).alias("start"),
         F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("piece") * capacity).alias("n_words"),
     )
     total = docs.count()  # sizes the shards; pieces beyond one per row fill whole bins
     shards = max(1, -(-total // shard_pieces))
-    shard = F.pmod(F.xxhash64("doc_id", "source", "piece", "n_words"), F.lit(shards)).alias("shard")
+    hashed = F.pmod(F.xxhash64("doc_id", "source", "piece", "n_words"), F.lit(shards))
+    shard = (F.expr(f"place div {shard_pieces}") if ordered else hashed).alias("shard")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        order = ["n_words", "doc_id", "piece", "c"]
-        rows = rows.sort_values(order, ascending=[False, True, True, True], kind="stable")
+        order = ["n_words", "place", "doc_id", "piece", "c"]
+        rows = rows.sort_values(order, ascending=[False, True, True, True, True], kind="stable")
         sources = [None if pd.isna(s) else s for s in rows["source"]]
         clusters = [None if missing else c for c, missing in zip(rows["c"], rows["c"].isna())]
         placed = pack_shard(zip(rows["n_words"].tolist(), sources, clusters), capacity, per_source)
-        rows["bin_id"] = [int(key[0]) * 2**32 + b for b, _ in placed]
+        bins = [b for b, _ in placed]
+        rows["bin_id"] = int(key[0]) * 2**32 + (in_order(bins, rows["place"].to_numpy()) if ordered else np.array(bins))
         rows["bin_offset"] = [o for _, o in placed]
         return rows[["doc_id", "source", "piece", "start", "n_words", "bin_id", "bin_offset"]]
 

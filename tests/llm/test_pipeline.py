@@ -82,6 +82,36 @@ def test_stages_take_odd_rows_and_empty_tables(spark, corpus, monkeypatch):
                 assert {r.doc_id for r in got} == {r[0] for r in rows}
 
 
+def test_packed_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.packing.pack, "__defaults__", (100, 4, 128, *corpus_pipeline.packing.pack.__defaults__[3:]))
+    rng = random.Random(12)
+    rows = [(i, words(rng.randint(5, 60), i), rng.choice("aaaaabbbc")) for i in range(3_000)]
+    mixed = corpus_pipeline.mix(spark, docs_frame(spark, rows), "")
+    path = str(tmp_path / "mixed")
+    mixed.write.parquet(path)
+    for frame in (spark.read.parquet(path), mixed):  # read from files, and not
+        plan = corpus_pipeline.mixing.mix(docs_frame(spark, rows)).orderBy("mix_slot", "mix_place").collect()
+        order = {}  # of each document: its places in the mix
+        for at, r in enumerate(plan):
+            order.setdefault(r.doc_id, []).append(at)
+        out = corpus_pipeline.pack(spark, frame, "").orderBy("bin_id", "bin_offset").collect()
+        assert len(out) == len(plan)
+        # a piece is near its place in the mix: in its run of 128 rows
+        at = [min(abs(p - i) for p in order[r.doc_id]) for i, r in enumerate(out)]
+        assert max(at) < 128
+        # shares of the sources over any prefix are those of the mix, but for a run
+        shares = lambda found: [sum(s == x for s in found) for x in "abc"]
+        for n in range(0, len(out), 50):
+            want, got = shares([r.source for r in plan[:n]]), shares([r.source for r in out[:n]])
+            assert max(abs(a - b) for a, b in zip(want, got)) < 64, n
+        # bins are numbered by their mean places, run by run
+        means = {}
+        for i, r in enumerate(out):
+            means.setdefault(r.bin_id, []).append(min(order[r.doc_id], key=lambda p: abs(p - i)))
+        means = [sum(m) / len(m) for _, m in sorted(means.items())]
+        assert sum(x <= y for x, y in zip(means, means[1:])) > 0.95 * (len(means) - 1)
+
+
 def test_run_applies_all_stages(spark, corpus, monkeypatch):
     monkeypatch.setattr(toxicity.train, "__defaults__", (20, 5))
     out = corpus_pipeline.run(spark, corpus[1])
