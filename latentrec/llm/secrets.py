@@ -11,6 +11,10 @@ Labels come from the corpus itself and a seeded generator, both bounded:
 * ordinary: the words of the sampled texts outside of any fixed match, and
   identifiers made by joining those words.
 
+A text over ``SAMPLE_CHARS`` is sampled by ``EXCERPTS`` excerpts, spread by a hash
+over the whole of it. The models judge every candidate, of one letter case or
+several. One that a fixed match covers in part is judged as a whole, too.
+
 The models are two small tables (``N_SYMBOLS ** (ORDER + 1)`` numbers), so they
 are sent to the tasks as they are; every whole text is scanned where it is
 read, with no shuffle.
@@ -22,6 +26,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 2_000  # texts the models are trained on, at most
-SAMPLE_CHARS = 2_000  # of each of them
-GENERATED = 2_000
+SAMPLE_CHARS = 4_000  # of each of them, and the runs without blanks at the excerpts' ends
+EXCERPTS = 8
+GENERATED = 20_000
 THRESHOLD = 0.9  # nats per character
 MIN_RANDOM = 16  # characters of a candidate
 ORDER = 2
@@ -131,6 +137,8 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
         string.ascii_letters + string.digits + "+/",
         string.ascii_uppercase + string.digits,
         string.ascii_letters + string.digits + "_-",
+        string.ascii_lowercase,
+        string.ascii_uppercase,
     )
     return ["".join(rng.choices(kinds[i % len(kinds)], k=rng.randint(16, 48))) for i in range(n)]
 
@@ -148,14 +156,14 @@ def labelled(texts: list[str], seed: int = 7) -> tuple[list[str], list[str]]:
             secret.append(value)
             rest.append(t[at:start])
             at = max(at, end)
-        words = re.findall(r"[A-Za-z]{3,}", " ".join([*rest, t[at:]]))[:200]
+        words = re.findall(r"[A-Za-z]{3,}", " ".join([*rest, t[at:]]))
         for i in range(0, len(words) - 3, 3):
-            style = rng.randrange(5)
+            style = rng.randrange(6)
             w = words[i : i + 3]
             plain += w
-            plain.append(
-                ("_".join(w), "".join(x.capitalize() for x in w), "-".join(w).lower(), "/".join(w), "".join(w).upper())[style]
-            )
+            camel = "".join(x.capitalize() for x in w)
+            low = "".join(w).lower()
+            plain.append(("_".join(w), camel, "-".join(w).lower(), "/".join(w), low.upper(), low)[style])
     plain += identifiers(GENERATED, seed)
     # file names, versions, constants and numbered names are ordinary, too
     plain += [f"{rng.choice(plain)}_{rng.randrange(100)}" for _ in range(500 if plain else 0)]
@@ -176,17 +184,17 @@ class RandomStringDetector:
         return (self.random.log_likelihood(s) - self.ordinary.log_likelihood(s)) / max(1, len(s))
 
     def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates over the threshold that no known span overlaps."""
+        """Candidates over the threshold that no known span holds whole."""
         out = []
         for m in CANDIDATE.finditer(text):
-            s = m[0]
-            # one letter case and no digit: a word, whatever its letters are
-            if s.isalpha() and (s.islower() or s.isupper() or s.istitle()):
-                continue
-            if any(a < m.end() and m.start() < b for a, _, b in known):
+            start, end = m.span()
+            for a, kind, b in known:
+                if kind == 0 and a < end and start < b:
+                    end = max(a, start)  # an assignment's value reaches as far as a candidate can
+            if end - start < MIN_RANDOM or any(a <= start and end <= b for a, _, b in known):
                 continue
-            if self.ratio(s) > self.threshold:
-                out.append((m.start(), 3, m.end()))
+            if self.ratio(text[start:end]) > self.threshold:
+                out.append((start, 3, end))
         return out
 
 
@@ -194,6 +202,26 @@ def render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+def excerpt(text: str) -> str:
+    """The text, or ``EXCERPTS`` parts of it: one at a hashed place of each of as many stretches.
+
+    Parts end at blanks, so no word is cut.
+    """
+    if len(text) <= SAMPLE_CHARS:
+        return text
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    size, stretch, out, at = SAMPLE_CHARS // EXCERPTS, len(text) / EXCERPTS, [], 0
+    for i in range(EXCERPTS):
+        lo = int(i * stretch + rng.random() * (stretch - size))
+        lo = max(at, max(text.rfind(c, 0, lo) for c in " \n\t") + 1)
+        ends = [text.find(c, lo + size) for c in " \n\t"]
+        at = min((e for e in ends if e >= 0), default=len(text))
+        out.append(text[lo:at])
+        if at == len(text):
+            break
+    return "\n".join(out)
+
+
 def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> RandomStringDetector:
     """Detector trained on at most ``rows`` texts.
 
@@ -204,8 +232,12 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> R
     share = min(1.0, 2 * rows / max(1, docs.count()))
     h = F.xxhash64(text_col)
     some = docs.where(F.col(text_col).isNotNull() & (F.pmod(h, F.lit(2**40)) < int(share * 2**40)))
-    t = F.substring(F.col(text_col), 1, SAMPLE_CHARS)
-    sample = some.groupBy(h.alias("h")).agg(F.min(t).alias("t")).orderBy("h").limit(rows).collect()
+
+    def excerpts(texts: pd.Series) -> pd.Series:
+        return texts.map(excerpt)
+
+    t = F.pandas_udf(excerpts, "string")(F.col(text_col))
+    sample = some.select(h.alias("h"), t.alias("t")).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(rows).collect()
     return RandomStringDetector([r["t"] for r in sample])
 
 

@@ -163,6 +163,40 @@ def test_random_strings_are_told_from_identifiers():
     assert detector.spans(plain, []) == []
 
 
+def test_strings_of_one_letter_case_are_judged():
+    rng = random.Random(2)
+    detector = secrets.RandomStringDetector([" ".join(rng.choices(secrets.NAME_WORDS, k=200)) for _ in range(30)])
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n in (16, 32):
+            keys = ["".join(rng.choices(letters, k=n)) for _ in range(200)]
+            assert sum(detector.spans(f"see {s}.", []) == [(4, 3, 4 + n)] for s in keys) > 0.9 * len(keys)
+    names = ["".join(rng.choices(secrets.NAME_WORDS, k=4)) for _ in range(200)]
+    long = [s for w in names if len(w) >= 16 for s in (w, w.upper(), w.title())]
+    assert sum(bool(detector.spans(s, [])) for s in long) <= 0.01 * len(long)
+
+
+def test_keys_around_a_fixed_match_are_masked_whole():
+    rng = random.Random(2)
+    detector = secrets.RandomStringDetector([" ".join(rng.choices(secrets.NAME_WORDS, k=200)) for _ in range(30)])
+    key = "Zq8RtX0Wv531ccd051a92ebcbKp7LmYw2Gh"
+    assert [k for _, k, _ in secrets.base_spans(key)] == [2]
+    assert secrets.redact_text(f"use {key} now", detector, "*") == "use * now"
+    # what a fixed match holds whole is found once
+    for t in ("see 531ccd051a92ebcb68", "my_password=531ccd051a92ebcb68", "api_key: Zq8RtX0WvKp7LmYw2Gh"):
+        assert detector.spans(t, secrets.base_spans(t)) == []
+
+
+def test_training_excerpts_come_from_the_whole_text():
+    text = " ".join(f"w{i:05d}" for i in range(20_000))
+    found = [int(w[1:]) for w in secrets.excerpt(text).split()]
+    assert found == sorted(set(found)) and all(len(w) == 6 for w in secrets.excerpt(text).split())
+    assert {i * 8 // 20_000 for i in found} == set(range(8)) and len(found) < 700
+    assert secrets.excerpt("a b") == "a b" and secrets.excerpt("x" * 9_000) == "x" * 9_000
+    # words after the 200th train, too
+    plain = secrets.labelled([" ".join(["the"] * 300 + ["zebra"] * 300)])[1]
+    assert plain.count("zebra") >= 290
+
+
 def test_redact_keeps_rows_and_columns(spark):
     rows = [(i, t, "s") for i, t in enumerate(SECRETS)] + odd_rows()
     df = docs_frame(spark, rows, extra=True)
