@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentrec.llm import counts, hnsw, minhash, mixing, packfile, packing, passages, secrets, topk, toxicity
+from latentrec.llm import counts, filteraudit, hnsw, minhash, mixing, packfile, packing, passages, secrets, topk, toxicity
 from latentrec.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_near_duplicates": op2_near_duplicates,
@@ -71,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shared_passages": op8_shared_passages,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op13_filter_audit": filteraudit.AUDIT_SQL,
+}
