@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
 
-TABLES = ["events", "orders", "lineitem", "part", "customer"]
+TABLES = ["events", "orders", "lineitem", "part", "customer", "documents", "embeddings", "benchmark", "labels"]
 
 
 @pytest.fixture(scope="module")
