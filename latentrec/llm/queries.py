@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentrec.llm import counts, filteraudit, hnsw, minhash, mixing, packfile, packing, passages, secrets, topk, toxicity
+from latentrec.llm import counts, filteraudit, hnsw, language, lexical, minhash, mixing, packfile, packing, passages, secrets, topk, toxicity
 from latentrec.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,9 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shared_passages": op8_shared_passages,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_language_id": op12_language_id,
     "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": lexical.RANK_SQL,
     "op13_filter_audit": filteraudit.AUDIT_SQL,
 }
