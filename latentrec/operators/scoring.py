@@ -2,13 +2,15 @@
 
 The grid of all (user, item) combinations is the result the recommender
 exists to produce, so its size, n_users x n_items, is the output size, and
-histogram and quantile over it read as many cells. Items are packed into
-blocks of about ``ITEM_BLOCK`` rows; every user row is copied once per block
-(n_users x n_blocks rows), meets the block in an equi-join, and is expanded to
-cells inside the task. The number of tasks follows from the number of cells.
-The item blocks are broadcast when their size (known exactly) is under the
-limit; otherwise both sides are hash-partitioned by (block, user salt) into
-that many partitions and merge-joined, so neither is ever a broadcast side.
+summaries over it read as many cells. Items are packed into blocks of about
+``ITEM_BLOCK`` rows. When the blocks are under the broadcast limit (their size
+is known exactly), users are dealt to tasks once, by the number of cells, and
+each task walks the blocks: a row per user is exchanged, and user and block
+meet and are expanded to cells inside the task. Otherwise both sides are
+hash-partitioned by (block, user salt) and merge-joined, so neither is ever a
+broadcast side.
+
+Where only cells within score bounds are wanted, see ``pruning``.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from latentrec.functions.columns import ITEM, USER, class_cols, dlit, long_form
 from latentrec.operators import em
-from latentrec.plans.layout import DEFAULT_BROADCAST_LIMIT, factor_row_bytes
+from latentrec.operators.quantile import summarize
+from latentrec.plans.layout import DEFAULT_BROADCAST_LIMIT, factor_row_bytes, ids_are_integral
 
 ITEM_BLOCK = 1_024
 CELLS_PER_PARTITION = 2_000_000
@@ -56,21 +59,44 @@ def all_items_for_each_user(
     parts = max(1, min(parts, n_users * n_blocks))
     block = F.pmod(F.xxhash64(ITEM), F.lit(n_blocks)).cast("int").alias(BLOCK)
     packed = items.select("*", block).groupBy(BLOCK).agg(F.collect_list(F.struct(*items.columns)).alias("_items"))
-    expanded = users.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias(BLOCK))
     if n_items * row_bytes <= broadcast_limit:
-        joined = expanded.repartition(parts, USER, BLOCK).join(F.broadcast(packed), BLOCK)
+        walked = walk_blocks(users, n_users, n_blocks, parts)
+        joined = walked.join(F.broadcast(packed), BLOCK)
     else:
-        salts = math.ceil(parts / n_blocks)
-        salted = expanded.withColumn(SALT, F.pmod(F.xxhash64(USER), F.lit(salts)).cast("int"))
-        copies = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(SALT))
-        key = [BLOCK, SALT]
-        joined = salted.repartition(parts, *key).hint("merge").join(copies.repartition(parts, *key).hint("merge"), key)
+        expanded = users.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias(BLOCK))
+        joined = join_blocks(expanded, packed, n_blocks, parts)
     return joined.select(*users.columns, F.inline("_items"))
 
 
+def walk_blocks(users: DataFrame, n_users: int, n_blocks: int, parts: int) -> DataFrame:
+    """``users`` with each block number, in ``parts`` tasks; what is exchanged is a row per user.
+
+    Only where there are fewer users than tasks a user's blocks are dealt to
+    several tasks, and as many rows are exchanged.
+    """
+    shares = max(1, min(n_blocks, math.ceil(parts / max(1, n_users))))
+    if shares == 1:
+        dealt, first = users.repartition(min(parts, max(1, n_users)), USER), F.lit(0)
+    else:
+        split = users.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias(SALT))
+        dealt, first = split.repartition(parts, USER, SALT), F.col(SALT)
+    return dealt.select(*users.columns, F.explode(F.sequence(first, F.lit(n_blocks - 1), F.lit(shares))).alias(BLOCK))
+
+
+def join_blocks(expanded: DataFrame, packed: DataFrame, n_blocks: int, parts: int) -> DataFrame:
+    """(user, block) rows with their blocks, by an exchange of both sides on (block, user salt)."""
+    salts = math.ceil(parts / n_blocks)
+    salted = expanded.withColumn(SALT, F.pmod(F.xxhash64(USER), F.lit(salts)).cast("int"))
+    copies = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(SALT))
+    key = [BLOCK, SALT]
+    return salted.repartition(parts, *key).hint("merge").join(copies.repartition(parts, *key).hint("merge"), key)
+
+
 def candidate_grid(pairs: DataFrame, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """``(user_id, item_id)`` for all users and all items seen in ``pairs``."""
-    return all_items_for_each_user(user_list(pairs), item_list(pairs), broadcast_limit=broadcast_limit)
+    return all_items_for_each_user(
+        user_list(pairs), item_list(pairs), broadcast_limit=broadcast_limit, row_bytes=factor_row_bytes(0, ids_are_integral(pairs))
+    )
 
 
 def _factor_grid(model, broadcast_limit: int) -> DataFrame:
@@ -80,10 +106,14 @@ def _factor_grid(model, broadcast_limit: int) -> DataFrame:
         model.layout.n_users,
         model.layout.n_items,
         broadcast_limit,
-        factor_row_bytes(model.k),
+        model_row_bytes(model),
     )
 
 
+def model_row_bytes(model) -> int:
+    return factor_row_bytes(model.k, ids_are_integral(model.state))
+
+
 def score_pairs(model, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """``(user_id, item_id, score)`` with score = p(s|u) = sum_z p(z|u) p(s|z)."""
     return _factor_grid(model, broadcast_limit).selectExpr(USER, ITEM, f"{em.psu_sql(model.k)} AS score")
@@ -119,7 +149,7 @@ def joint_probability(model, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) ->
         USER, *[f"{em.N}{z} / {dlit(total)} AS {em.PU}{z}" for z in range(k)]
     )
     g = all_items_for_each_user(
-        user_rows, model.item_factors(), model.layout.n_users, model.layout.n_items, broadcast_limit, factor_row_bytes(k)
+        user_rows, model.item_factors(), model.layout.n_users, model.layout.n_items, broadcast_limit, model_row_bytes(model)
     )
     return g.selectExpr(USER, ITEM, f"{em.psu_sql(k)} AS p_joint")
 
@@ -128,30 +158,10 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram over [min, max]: ``(bin, bin_lo, bin_hi, n)``.
 
     Bins are closed on the left, the last one also on the right; empty bins
-    are listed with n = 0. Two passes: min/max, then one grouped count.
+    are listed with n = 0. At most two scans, which quantiles may share (see
+    ``quantile.summarize``).
     """
-    spark = df.sparkSession
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
-    if lo is None:
-        return spark.createDataFrame([], "bin bigint, bin_lo double, bin_hi double, n bigint")
-    lo, hi = float(lo), float(hi)
-    if hi == lo:  # one distinct value: a unit-wide range around it
-        lo, hi = lo - 0.5, hi + 0.5
-    pos = F.floor((F.col(col) - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)).cast("bigint")
-    counts = (
-        df.where(F.col(col).isNotNull())
-        .select(F.least(pos, F.lit(bins - 1).cast("bigint")).alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    edges = spark.range(bins).select(F.col("id").alias("bin"))
-    width = (hi - lo) / bins
-    return edges.join(F.broadcast(counts), "bin", "left").select(
-        "bin",
-        (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
-        (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
-        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
-    )
+    return summarize(df, col, bins=bins).histogram
 
 
 def flag(scores: DataFrame, threshold: float, col: str = "score") -> DataFrame:
