@@ -18,7 +18,8 @@ from latentrec import oracle
 from latentrec.functions.columns import ITEM, USER, class_cols, long_form
 from latentrec.operators.em import Q
 from latentrec.operators.init import with_start_posterior
-from latentrec.operators.quantile import quantile_table
+from latentrec.operators.pruning import cells_between, components_between
+from latentrec.operators.quantile import quantile_table, summarize
 from latentrec.operators.scoring import (
     candidate_grid,
     histogram,
@@ -30,7 +31,7 @@ from latentrec.operators.scoring import (
     user_list,
 )
 from latentrec.plans.model import fit, sweep
-from latentrec.plans.recommend import predict, recommend
+from latentrec.plans.recommend import predict, recommend, score_summary
 from latentrec.session import checkpoint_dir
 from latentrec.sources.interactions import (
     customer_brand_pairs,
@@ -224,6 +225,49 @@ def q_recommend(spark, sf):
     return rec.predictions.select(USER, ITEM, _r("score", 12), "recommended")
 
 
+def _flagged(model, threshold=None, per_class=False):
+    """Flagged rows alone, by bound; down to what rounds to the threshold, as in ``_predictions``."""
+    if threshold is None:
+        threshold = score_summary(model, [QUANTILE], per_class=per_class).quantiles[QUANTILE]
+    between = components_between if per_class else cells_between
+    rows = between(model, [(threshold - 1e-9, None)])
+    return _predictions(threshold, rows, with_z=per_class).where("recommended").drop("recommended")
+
+
+def q_flagged_fixed(spark, sf):
+    return _flagged(_model(spark, sf, ITER_SCORING), FIXED_THRESHOLD)
+
+
+def q_flagged_quantile(spark, sf):
+    return _flagged(_model(spark, sf, ITER_SCORING))
+
+
+def q_flagged_per_class(spark, sf):
+    return _flagged(_model(spark, sf, ITER_SCORING), per_class=True)
+
+
+def q_recommend_flagged(spark, sf):
+    pairs = _pairs(spark, sf)
+    rec = recommend(pairs, RECOMMEND_K, RECOMMEND_ITERATIONS, quantile=QUANTILE, init="weighted", flagged_only=True)
+    return rec.predictions.select(USER, ITEM, _r("score", 12))
+
+
+def q_score_summary(spark, sf):
+    """Histogram and quantile of the scores from shared scans."""
+    scores = score_pairs(_model(spark, sf, ITER_SCORING)).select(F.round("score", 12).alias("score"))
+    s = summarize(scores, "score", [QUANTILE], HIST_BINS)
+    value = F.round(F.lit(s.quantiles[QUANTILE]), 12).alias("quantile")
+    return s.histogram.select("bin", _r("bin_lo", 12), _r("bin_hi", 12), "n", value)
+
+
+def q_loglik_history_blocks(spark, sf):
+    """As ``loglik_history``, with neither side broadcast: pairs in two-dimensional blocks."""
+    m = fit(_pairs(spark, sf), K, 3, init="weighted", broadcast_limit=0)
+    rows = _history(m.history())
+    m.close()
+    return rows
+
+
 def q_brand_p_item_given_class(spark, sf):
     m = fit(customer_brand_pairs(ready(spark), sf), K, 2, init="weighted")
     return m.p_item_given_class().select(ITEM, "z", _r("p"))
@@ -330,6 +374,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predict_quantile": q_predict_quantile,
     "predict_per_class": q_predict_per_class,
     "recommend": q_recommend,
+    "flagged_fixed": q_flagged_fixed,
+    "flagged_quantile": q_flagged_quantile,
+    "flagged_per_class": q_flagged_per_class,
+    "recommend_flagged": q_recommend_flagged,
+    "score_summary": q_score_summary,
+    "loglik_history_blocks": q_loglik_history_blocks,
     "brand_p_item_given_class": q_brand_p_item_given_class,
     "customer_part_loglik_history": q_customer_part_loglik_history,
     "fit_hashed_seed": q_fit_hashed_seed,
@@ -384,6 +434,17 @@ def _tol_sql() -> str:
     return _sql(TOL_ITERATIONS, body, extra=[h, gains, stop])
 
 
+_HISTOGRAM_CTES = [
+    "rs AS (SELECT round(score, 12) AS score FROM scores)",
+    "rng AS (SELECT min(score) AS lo, max(score) AS hi FROM rs)",
+    "cnt AS (SELECT least(CAST(floor((score - lo) / (hi - lo) * 30) AS BIGINT), 29) AS bin, count(*) AS n "
+    "FROM rs CROSS JOIN rng GROUP BY 1)",
+]
+_COMPONENTS_CTE = (
+    "comp AS (SELECT g.user_id, g.item_id, u.z, u.pzu * i.psz AS score FROM grid g "
+    "JOIN pzu u ON g.user_id = u.user_id JOIN psz i ON g.item_id = i.item_id AND u.z = i.z)"
+)
+
 _GRID_SCORES = "SELECT user_id, item_id, round(score, 9) AS score"
 
 ORACLE_SQL: dict[str, str] = {
@@ -497,4 +558,30 @@ ORACLE_SQL: dict[str, str] = {
         "count(*) AS n_pairs FROM shares CROSS JOIN range(1, 3) t GROUP BY t.range"
     ),
 }
+ORACLE_SQL["loglik_history_blocks"] = ORACLE_SQL["loglik_history"]
+ORACLE_SQL |= {
+    "flagged_fixed": _scoring(f"{_GRID_SCORES} FROM scores WHERE round(score, 9) >= {FIXED_THRESHOLD}"),
+    "flagged_quantile": _scoring(
+        f"{_GRID_SCORES} FROM scores WHERE round(score, 9) >= (SELECT round(quantile_cont(score, {QUANTILE}), 9) FROM scores)"
+    ),
+    "flagged_per_class": _scoring(
+        "SELECT user_id, item_id, z, round(score, 9) AS score FROM comp "
+        f"WHERE round(score, 9) >= (SELECT round(quantile_cont(score, {QUANTILE}), 9) FROM comp)",
+        extra=[_COMPONENTS_CTE],
+    ),
+    "recommend_flagged": _scoring(
+        "SELECT user_id, item_id, round(score, 12) AS score FROM scores "
+        f"WHERE score >= (SELECT quantile_cont(score, {QUANTILE}) FROM scores)",
+        k=RECOMMEND_K,
+        n_iter=RECOMMEND_ITERATIONS,
+    ),
+    "score_summary": _scoring(
+        "SELECT b.bin, round(r.lo + b.bin * ((r.hi - r.lo) / 30), 12) AS bin_lo, "
+        "round(r.lo + (b.bin + 1) * ((r.hi - r.lo) / 30), 12) AS bin_hi, coalesce(c.n, 0) AS n, "
+        f"(SELECT round(quantile_cont(score, {QUANTILE}), 12) FROM rs) AS quantile "
+        "FROM (SELECT CAST(range AS BIGINT) AS bin FROM range(30)) b CROSS JOIN rng r "
+        "LEFT JOIN cnt c ON c.bin = b.bin",
+        extra=_HISTOGRAM_CTES,
+    ),
+}
 ORACLE_SQL["predictions_round_trip"] = ORACLE_SQL["predict_fixed"]
