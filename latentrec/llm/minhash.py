@@ -14,10 +14,17 @@ Signatures are improved consistent weighted samples (Ioffe 2010): two texts
 agree on one sample with the probability of their weighted Jaccard similarity.
 ``BANDS`` bands of ``ROWS`` samples give candidate buckets. In a bucket, pairs
 are not listed: all members are compared with one of them, then members that
-are still apart from the bucket's largest class are compared, some at a time,
-with the others, until every pair is either in one class or was compared. A
-link needs a weighted Jaccard similarity of ``SIMILARITY`` on whole texts;
-classes are the connected components of the links.
+are still apart from the bucket's largest class (pivots) are compared with the
+others, in cells of bounded size, so every pair is either in one class or was
+compared. A link needs a weighted Jaccard similarity of ``SIMILARITY`` on whole
+texts; classes are the connected components of the links.
+
+A bucket can hold very many texts that are no near duplicates (a passage that
+they share). There, members carry a sketch of ``SKETCH`` further samples, of a
+byte each. Pivots and members are first compared by their sketches, whole
+blocks at a time, and only pairs that agree on ``LEAST_AGREEING`` samples by
+their sets: a pair at 0.8 falls short of that, five standard deviations below
+its mean, with a probability under one in a million.
 
 Texts that are equal are one class from the start, whatever their number, and
 go through the rest as one.
@@ -42,9 +49,12 @@ BANDS, ROWS = 7, 2  # a pair at 0.8 shares a bucket with probability 1 - (1 - 0.
 FEATURES = 2**20
 IDF_POWER = 0.5
 CHUNK = 2**14  # features in one row of counts
-PIVOTS = 512  # members of a bucket that are compared with the others in one round
-PIVOT_CHUNK = 64  # of them in one cell
+PIVOTS = 64  # pivots of a bucket from which on sketches are compared first
+PIVOT_CHUNK = 1_024  # of them in one cell, about
 MEMBERS = 1_024  # other members in one cell, about
+CELL_WEIGHT = 2_000_000  # total weight (shingles, about) of either kind in one cell, about
+SKETCH = 256  # samples of a sketch
+LEAST_AGREEING = int(SKETCH * SIMILARITY - 5 * (SKETCH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 GROUP = 256  # texts compared with one copy of a text
 
 
@@ -255,10 +265,10 @@ def links(docs: DataFrame, threshold: float, bands: int, rows: int, k: int, id_c
     nodes = sig.groupBy("key").agg(
         F.min(F.col("i").cast(id_type)).alias("id"), F.first("bands").alias("bands"), F.first("weight").alias("weight")
     )
-    members = nodes.select("key", "id", "weight", F.posexplode("bands").alias("band", "h"))
+    members = nodes.select("key", "id", "weight", "bands", F.posexplode("bands").alias("band", "h"))
     bucket = members.groupBy("band", "h").agg(F.min(F.struct("id", "key")).alias("first"), F.count(F.lit(1)).alias("n"))
     bucket = bucket.where("n > 1").select("band", "h", F.col("first.key").alias("pivot"))
-    members = stored(members.join(bucket, ["band", "h"]), "buckets")
+    members = stored(members.join(bucket, ["band", "h"]).drop("id"), "buckets")
     involved = members.select("key").distinct()
     distinct_texts = stored(
         texts.join(involved, "key", "left_semi").select("key", "t").dropDuplicates(["key"]), "texts"
@@ -267,30 +277,24 @@ def links(docs: DataFrame, threshold: float, bands: int, rows: int, k: int, id_c
     found = stored(verified(pairs, distinct_texts, idf, threshold, k), "links")
     roots = components(found)
     # the first member of a bucket has met all others; who is still apart from whom?
-    apart = members.where("key != pivot").join(roots, F.col("key") == F.col("node"), "left").select(
-        "band", "h", "key", "id", "weight", F.coalesce("root", "key").alias("root")
+    apart = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    by_root = apart.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    sizes = by_root.groupBy("band", "h").agg(
+        F.max(F.struct("n", "w", "root")).alias("most"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("w").alias("w")
     )
-    while True:
-        by_root = apart.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = by_root.groupBy("band", "h").agg(
-            F.max(F.struct("n", "root")).alias("most"),
-            F.count(F.lit(1)).alias("classes"),
-            F.ceil(F.sum("n") / MEMBERS).cast("int").alias("salts"),
-        )
-        largest = largest.where("classes > 1").select("band", "h", F.col("most.root").alias("main"), "salts")
-        apart = stored(apart.join(largest, ["band", "h"]), "apart")
-        order = Window.partitionBy("band", "h").orderBy("id", "key")
-        ranked = apart.where("root != main").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS)
-        chunk = F.floor((F.col("rank") - 1) / PIVOT_CHUNK).cast("int")
-        pivots = stored(ranked.select("band", "h", "key", "weight", "root", "salts", chunk.alias("chunk")), "pivots")
-        if not pivots.limit(1).count():
-            return sig, roots
-        more = stored(met(pivots, apart, distinct_texts, idf, threshold, k), "links")
-        merged = components(more)
-        own = roots.union(merged.select("node", F.col("node").alias("root"))).distinct()
-        roots = stored(renamed(own, merged), "roots")
-        left = apart.join(pivots.select("band", "h", "key"), ["band", "h", "key"], "left_anti")
-        apart = renamed(left.select("band", "h", "key", "id", "weight", "root"), merged)
+    cells = lambda n, w, most: F.ceil(F.greatest(n / most, w / CELL_WEIGHT)).cast("int")
+    sizes = sizes.where("classes > 1").select(
+        "band", "h", F.col("most.root").alias("main"),
+        (F.col("n") - F.col("most.n") >= PIVOTS).alias("hot"),
+        cells(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"), PIVOT_CHUNK).alias("chunks"),
+        cells(F.col("n"), F.col("w"), MEMBERS).alias("salts"),
+    )
+    apart = stored(apart.select("band", "h", "key", "weight", "bands", "root").join(sizes, ["band", "h"]), "apart")
+    needed = apart.groupBy("key").agg(F.max("hot").alias("hot"))
+    sets = stored(described(needed.join(distinct_texts, "key"), idf, k), "sets")
+    merged = components(stored(met(apart, sets, idf, threshold), "links"))
+    own = roots.union(merged.select("node", F.col("node").alias("root"))).distinct()
+    return sig, stored(renamed(own, merged), "roots")
 
 
 def renamed(df: DataFrame, merged: DataFrame) -> DataFrame:
@@ -300,56 +304,129 @@ def renamed(df: DataFrame, merged: DataFrame) -> DataFrame:
     return joined.select(*[c for c in df.columns if c != "root"], F.coalesce("_to", "root").alias("root"))
 
 
-def met(pivots: DataFrame, members: DataFrame, texts: DataFrame, idf, threshold: float, k: int) -> DataFrame:
+def described(texts: DataFrame, idf, k: int) -> DataFrame:
+    """``(key, sketch, ids, tf)`` of ``(key, hot, t)``: the set of a text as bytes, and its sketch if it is in a hot bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, sampler = WordHasher(), Sampler(SKETCH, seed=2)
+        sampler.BLOCK = 64  # as many samples as these fill the cache with fewer shingles
+        for b in batches:
+            out = []
+            for key, hot, t in zip(b["key"], b["hot"], b["t"]):
+                h, tf = np.unique(shingles(words.hashes(t), k), return_counts=True)
+                sketch = b""
+                if hot:
+                    sketch = sampler.sample(h, tf * idf.value[feature_of(h)].astype(np.float64)).astype(np.uint8).tobytes()
+                out.append((key, sketch, h.tobytes(), tf.astype(np.uint32).tobytes()))
+            yield pd.DataFrame(out, columns=["key", "sketch", "ids", "tf"])
+
+    return texts.select("key", "hot", "t").mapInPandas(run, "key string, sketch binary, ids binary, tf binary")
+
+
+def met(members: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` of classes (roots) that a pivot and another member of its bucket link.
 
-    A cell holds up to ``PIVOT_CHUNK`` pivots of a bucket and streams about
-    ``MEMBERS`` of its members past them. A pivot that was linked to a class
-    in the cell is not compared with the rest of it.
+    Pivots are the members that are not in the bucket's largest class. A cell
+    holds some pivots of a bucket and streams some of its members past them.
+    Two pivots meet in one of their two cells, a pair of several buckets in its
+    first band. A pivot that was linked to a class in the cell is not compared
+    with the rest of it.
     """
-    spread = pivots.groupBy("band", "h").agg((F.max("chunk") + 1).alias("chunks"))
     zero = F.lit(0)
-    first = pivots.select("*", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-    other = members.join(spread, ["band", "h"]).select(
-        "band", "h", "key", "weight", "root", "salts",
-        F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"),
-        F.lit(1).alias("kind"),
+    common = ("band", "h", "key", "weight", "bands", "root")
+    lone = F.col("root") != F.col("main")
+    first = members.where(lone).select(
+        *common, F.pmod(F.xxhash64(F.lit(1), F.col("key")), "chunks").cast("int").alias("chunk"),
+        F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), lone.alias("lone"),
+    )
+    other = members.select(
+        *common, F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"),
+        F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), lone.alias("lone"),
     )
-    both = first.unionByName(other).drop("salts").join(texts, "key")
+    both = first.unionByName(other).join(sets, "key")
     cell = ("band", "h", "chunk", "salt")
-    ordered = both.repartition(shuffle_partitions(pivots.sparkSession), *cell).sortWithinPartitions(*cell, "kind", "key")
-    names = (*cell, "kind", "key", "weight", "root", "t")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, now, held, up = WordHasher(), None, [], {}
+    ordered = both.repartition(shuffle_partitions(members.sparkSession), *cell).sortWithinPartitions(*cell, "kind", "key")
+    names = (*cell, "kind", "key", "weight", "bands", "root", "lone", "sketch", "ids", "tf")
 
-        def top(r: str) -> str:
-            while r in up:
-                r = up[r]
-            return r
+    def weighted(h: bytes, tf: bytes) -> tuple[np.ndarray, np.ndarray]:
+        h = np.frombuffer(h, U64)
+        return h, np.frombuffer(tf, np.uint32) * idf.value[feature_of(h)].astype(np.float64)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, None
         for batch in batches:
             out = []
-            for *at, kind, key, weight, root, t in zip(*(batch[c] for c in names)):
+            for *at, kind, key, weight, bands, root, lone, sketch, ids, tf in zip(*(batch[c] for c in names)):
                 if now != at:
-                    now, held, up = at, [], {}
+                    now, held = at, Pivots(at[0])
                 if kind == 0:
-                    held.append((key, root, weight, weighted_set(words.hashes(t), idf.value, k)))
+                    held.add(key, weight, bands, root, sketch, (ids, tf))
                     continue
                 own = None
-                for a, ra, wa, sa in held:
-                    if top(ra) == top(root) or min(wa, weight) < (threshold - 1e-6) * max(wa, weight):
+                for i in held.candidates(key, weight, bands, lone, sketch, threshold):
+                    a = held.top(held.roots[i])
+                    if a == held.top(root):
                         continue
-                    own = own or weighted_set(words.hashes(t), idf.value, k)
-                    if similarity(sa, own) >= threshold - 1e-9:
-                        out.append((ra, root))
-                        up[top(ra)] = top(root)
+                    if own is None:
+                        own = weighted(ids, tf)
+                    if similarity(held.set_of(i, weighted), own) >= threshold - 1e-9:
+                        out.append((held.roots[i], root))
+                        held.up[a] = held.top(root)
             yield pd.DataFrame(out, columns=["a", "b"])
 
     return ordered.select(*names).mapInPandas(run, "a string, b string").distinct()
 
 
+class Pivots:
+    """The pivots of one cell, and the classes linked there."""
+
+    def __init__(self, band: int):
+        self.band = band
+        self.keys, self.weights, self.bands, self.roots, self.sketches, self.sets = [], [], [], [], [], []
+        self.up: dict[str, str] = {}
+        self.ready = None
+
+    def add(self, key, weight, bands, root, sketch, own) -> None:
+        self.keys.append(key)
+        self.weights.append(weight)
+        self.bands.append(bands)
+        self.roots.append(root)
+        self.sketches.append(sketch)
+        self.sets.append(own)
+
+    def top(self, root: str) -> str:
+        while root in self.up:
+            root = self.up[root]
+        return root
+
+    def set_of(self, i: int, weighted) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(self.sets[i][0], bytes):
+            self.sets[i] = weighted(*self.sets[i])
+        return self.sets[i]
+
+    def candidates(self, key, weight, bands, lone, sketch, threshold) -> np.ndarray:
+        """Pivots that a member may be similar to and that it does not meet elsewhere."""
+        if self.ready is None:
+            sketches = [np.frombuffer(x, np.uint8) for x in self.sketches]
+            hot = bool(sketches) and all(len(x) for x in sketches)
+            self.ready = (
+                np.array(self.weights, np.float64),
+                np.array([b[: self.band] for b in self.bands], np.int64).reshape(len(self.bands), self.band),
+                np.array(self.keys, object),
+                np.stack(sketches) if hot else None,
+            )
+        weights, earlier, keys, sketches = self.ready
+        fits = np.minimum(weights, weight) >= (threshold - 1e-6) * np.maximum(weights, weight)
+        fits &= keys > key if lone else keys != key
+        if self.band:
+            fits &= ~(earlier == np.asarray(bands[: self.band], np.int64)).any(1)
+        some = np.flatnonzero(fits)
+        if len(some) and sketches is not None and len(sketch):
+            agreeing = np.count_nonzero(sketches[some] == np.frombuffer(sketch, np.uint8), axis=1)
+            some = some[agreeing >= LEAST_AGREEING]
+        return some
+
+
 def near_duplicate_classes(
     docs: DataFrame,
     threshold: float = SIMILARITY,
