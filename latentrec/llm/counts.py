@@ -28,6 +28,7 @@ import gc
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 AGREE = 4
-MEMORY_CHARS = 10_000_000  # of remembered pieces, per Python worker
+MEMORY_CHARS = 24_000_000  # of remembered pieces, per Python worker
 
 STABLE = re.compile(r"(?<=[ \t\n\r])(?=[A-Za-z0-9])")
 # str.split() takes these as blanks, the tokenizer does not
@@ -104,10 +105,11 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {}
+        # ids are kept as packed 32-bit integers: lists of them would take several times the memory
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.pieces = Numbered()
-        self.flat, self.ends, self.chars = np.zeros(0, np.int64), np.zeros(1, np.int64), 0
+        self.flat, self.ends, self.chars = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
 
     def learn(self) -> None:
         """Encode the pieces that were met for the first time.
@@ -136,7 +138,7 @@ class PieceEncoder:
                 continue
             if core and core.isalpha() and (core.isascii() or (max(core) <= LATIN and DOTTED not in core)):
                 symbols = word if core.isascii() else word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
-                words[word] = [t.id for t in tokenize(symbols)]
+                words[word] = array("I", [t.id for t in tokenize(symbols)]).tobytes()
                 self.chars += len(word)
                 split.append((words, word, p[len(core) :]))
                 continue
@@ -150,18 +152,14 @@ class PieceEncoder:
             for at in range(0, len(todo), 4096):
                 part = todo[at : at + 4096]
                 for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    found[x] = e.ids
+                    found[x] = array("I", e.ids).tobytes()
         self.tails |= tails
-        flat: list[int] = []
-        ends, tails = [], self.tails
-        for found, core, tail in split:
-            flat += found[core]
-            if tail:
-                flat += tails[tail]
-            ends.append(len(flat))
+        tails = self.tails
+        packed = [found[core] + tails[tail] if tail else found[core] for found, core, tail in split]
         self.chars += sum(map(len, new))
-        self.ends = np.concatenate([self.ends, len(self.flat) + np.array(ends, np.int64)])
-        self.flat = np.concatenate([self.flat, np.array(flat, np.int64)])
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(packed), np.uint32)])
 
     def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all pieces of the texts: begin and length in ``flat``; and pieces of each text."""
@@ -285,12 +283,13 @@ def token_counts(
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["t"]]
             n = np.zeros((len(texts), 3), np.int64)
-            short = [i for i, t in enumerate(texts) if len(t) <= chunk_chars]
+            # chunks can only be spliced where blanks are boundaries; other tokenizers get texts whole
+            short = [i for i, t in enumerate(texts) if len(t) <= chunk_chars or not enc.by_pieces]
             for at in range(0, len(short), 512):
                 n[short[at : at + 512], 0] = enc.count_many([texts[i] for i in short[at : at + 512]])
             n[short, 1] = 1
             for i, t in enumerate(texts):
-                if len(t) > chunk_chars:
+                if len(t) > chunk_chars and enc.by_pieces:
                     n[i] = splice_count(enc, t, chunk_chars, overlap_chars)
             yield pd.DataFrame({"i": b["i"], "b": b["b"], "n": n[:, 0], "c": n[:, 1], "w": n[:, 2]})
 
