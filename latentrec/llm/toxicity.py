@@ -18,6 +18,7 @@ they are read; the network's tables (a few MB, fixed) are broadcast.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -369,7 +370,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     """Network trained on labelled texts that are not held out.
 
     Of each label at most ``rows`` texts are taken, by a threshold on a hash of
-    the id that leaves about twice as many and then by the smallest hashes.
+    the id that leaves about twice as many and then by the smallest hashes. One
+    task trains on them, which are bounded in number and length.
     Rows without id, text or label, or with other labels, do not train.
     """
     y = F.col("toxic").cast("int")
@@ -381,14 +383,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     # texts that are too long for training leave room for others
     short = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
     short = short.select(col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    texts, values = [], []
+    parts = []
     for label in (0, 1):
         share = min(1.0, 2 * rows / max(1, sizes.get(label, 0)))
         some = known.where((F.col("y") == label) & (F.col("h") < int(share * 2**40)))
-        found = short.join(some, "i").groupBy("h", "i").agg(F.min("t").alias("t")).orderBy("h", "i").limit(rows).collect()
-        texts += [r["t"] for r in found]
-        values += [label] * len(found)
-    return train(texts, values)
+        parts.append(short.join(some, "i").groupBy("h", "i", "y").agg(F.min("t").alias("t")).orderBy("h", "i").limit(rows))
+    settings = train.__defaults__
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = [row for b in batches for row in zip(b["y"], b["h"], b["i"], b["t"])]
+        sample.sort(key=lambda row: row[:3])
+        net = train([t for *_, t in sample], [y for y, *_ in sample], *settings)
+        yield pd.DataFrame({"net": [pickle.dumps(net)]})
+
+    # in a task, which has the memory for it; the driver gets the network alone
+    found = parts[0].union(parts[1]).repartition(1).mapInPandas(learn, "net binary").collect()
+    return pickle.loads(bytes(found[0]["net"])) if found else train([], [], *settings)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
