@@ -15,6 +15,7 @@ length of a text.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -195,9 +196,9 @@ def fit(
     It learns from at most ``texts`` distinct whole texts, shared alike by the
     languages (but ``LEAST_TEXTS`` of each): a threshold on a hash of the text
     leaves about twice as many, and of these the smallest hashes are taken. Rows
-    without id, text or language, and texts without a letter, do not train. What
-    reaches the driver are n-gram counts: at most ``SLOTS`` numbers for a text
-    and for each of its parts.
+    without id, text or language, and texts without a letter, do not train. One
+    task trains on their n-gram counts: at most ``SLOTS`` numbers for a text and
+    for each of its parts.
     """
     rows = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull() & col(lang_col).isNotNull()).where(~held_out(col(id_col)))
     rows = rows.select(col(lang_col).cast("string").alias("l"), col(text_col).alias("t"))
@@ -227,15 +228,21 @@ def fit(
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list("lhpvn"))
 
-    sample = some.mapInArrow(counted, "l string, h long, p int, v array<int>, n array<int>").collect()
-    sample.sort(key=lambda r: (r["l"], r["h"], r["p"]))
-    names = sorted(set(sizes))
-    number = {l: i for i, l in enumerate(names)}
-    label = np.array([number[r["l"]] for r in sample], np.int64)
-    learned = sorted(set(label.tolist()))  # languages of which some text has a letter
-    label = np.searchsorted(learned, label)
-    data = [(np.array(r["v"], np.int32), np.array(r["n"], np.float32)) for r in sample]
-    return train([names[i] for i in learned], label, data)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = []
+        for b in batches:
+            arrays = [[x.values.to_numpy() for x in b[c]] for c in "vn"]
+            sample += zip(*[b[c].to_pylist() for c in "lhp"], *arrays)
+        sample.sort(key=lambda r: r[:3])
+        names = sorted({r[0] for r in sample})  # languages of which some text has a letter
+        label = np.searchsorted(names, [r[0] for r in sample]) if sample else np.zeros(0, np.int64)
+        model = train(names, label, [(v, n.astype(np.float32)) for *_, v, n in sample])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # in a task, which has the memory for it; the driver gets the model alone
+    sample = some.mapInArrow(counted, "l string, h long, p int, v array<int>, n array<int>").repartition(1)
+    found = sample.mapInArrow(learn, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else train([], np.zeros(0, np.int64), [])
 
 
 def parts(data: bytes) -> list[bytes]:
