@@ -205,7 +205,8 @@ def render(spans: list[tuple[int, int, int]]) -> str:
 def excerpt(text: str) -> str:
     """The text, or ``EXCERPTS`` parts of it: one at a hashed place of each of as many stretches.
 
-    Parts end at blanks, so no word is cut.
+    Parts begin and end at blanks, so no word is cut, unless it is so long that
+    none is near: a part has twice its share of characters at most.
     """
     if len(text) <= SAMPLE_CHARS:
         return text
@@ -213,9 +214,10 @@ def excerpt(text: str) -> str:
     size, stretch, out, at = SAMPLE_CHARS // EXCERPTS, len(text) / EXCERPTS, [], 0
     for i in range(EXCERPTS):
         lo = int(i * stretch + rng.random() * (stretch - size))
-        lo = max(at, max(text.rfind(c, 0, lo) for c in " \n\t") + 1)
-        ends = [text.find(c, lo + size) for c in " \n\t"]
-        at = min((e for e in ends if e >= 0), default=len(text))
+        blank = max(text.rfind(c, max(at, lo - size), lo) for c in " \n\t")
+        lo = max(at, blank + 1 if blank >= 0 else lo)
+        ends = [text.find(c, lo + size, lo + 2 * size) for c in " \n\t"]
+        at = min((e for e in ends if e >= 0), default=min(len(text), lo + size))
         out.append(text[lo:at])
         if at == len(text):
             break
