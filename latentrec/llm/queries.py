@@ -90,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": topk.TOP_SQL,
     "op11_ranked_search": lexical.RANK_SQL,
     "op13_filter_audit": filteraudit.AUDIT_SQL,
 }

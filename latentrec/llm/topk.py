@@ -222,3 +222,21 @@ def top_k(
         run, "query_id long, vec_id long, score long"
     )
     return best(found, k, ascending=False)
+
+
+TOP_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, len(embedding) AS dim,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e  -- whole numbers, whose products are exact
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND q.dim = c.dim
+), k AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
+"""

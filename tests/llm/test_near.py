@@ -237,3 +237,72 @@ def test_passages_of_odd_rows(spark):
     assert all(r.end - r.start > 10_000 for r in out)
     assert passages.shared_passages(docs_frame(spark, [])).count() == 0
     assert passages.shared_passages(docs_frame(spark, odd_rows())).count() == 0
+
+
+def family():
+    """160 texts of which most pairs are 0.4 to 0.75 similar, some near copies among them, and texts that share a line."""
+    rng = random.Random(9)
+    base = words(150, 41).split()
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for at in rng.sample(range(150), 7):
+            w[at] = f"v{i}q{at}"
+        rows.append(" ".join(w))
+    for i in range(0, 160, 20):
+        w = rows[i].split()
+        w[rng.randrange(150)] = "changed"
+        rows.append(" ".join(w))
+    line = words(45, 43)
+    rows += [f"{line} {words(12, 600 + i)}" for i in range(90)]
+    rng.shuffle(rows)
+    return [(i, t, "s") for i, t in enumerate(rows)]
+
+
+def found_classes(out):
+    groups = defaultdict(list)
+    for r in out:
+        groups[r.class_id].append(r.doc_id)
+    return {tuple(sorted(g)) for g in groups.values()}
+
+
+@pytest.mark.parametrize("rows", [corpus, family])
+def test_registered_settings_against_all_pairs(spark, rows):
+    rows = rows()
+    want, close = plain_classes(rows)
+    assert not close and len(want) < len(rows)
+    assert found_classes(minhash.near_duplicate_classes(docs_frame(spark, rows)).collect()) == want
+
+
+@pytest.mark.parametrize("n", [1_000, 4_000])
+def test_copies_of_a_member_do_not_grow_with_its_bucket(spark, monkeypatch, n):
+    """A bucket of dissimilar texts: each is copied once for each cell of pivots, in cells of bounded size."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(minhash.Pivots, "candidates", lambda *a: seen.add(1) or [])
+    rows = [(0, 7, f"k{i}", 100.0, [7], f"k{i}", "k0", True, -(-n // 1_024), -(-n // 1_024)) for i in range(n)]
+    members = spark.createDataFrame(
+        rows, "band int, h long, key string, weight double, bands array<long>, root string, main string, hot boolean, chunks int, salts int"
+    )
+    sets = members.select("key", *[F.lit(b"").alias(c) for c in ("sketch", "ids", "tf")])
+    idf = spark.sparkContext.broadcast(minhash.idf_table(np.zeros(minhash.FEATURES), 10))
+    assert minhash.met(members, sets, idf, 0.8).count() == 0
+    assert seen.value == n * -(-n // 1_024)
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    """Pairs a little over 0.8 agree on enough samples, pairs at 0.6 mostly do not."""
+    rng = np.random.default_rng(3)
+    sampler = minhash.Sampler(minhash.SKETCH, seed=2)
+    passed = {0.81: 0, 0.6: 0}
+    for _ in range(60):
+        h = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
+        for s in passed:
+            both = int(400 * s)
+            alone = (400 - both) // 2
+            w = np.ones(400)
+            a, b = (np.concatenate([h[:both], h[both + i * alone : both + (i + 1) * alone]]) for i in (0, 1))
+            a, b = (sampler.sample(x, w[: len(x)]).astype(np.uint8) for x in (a, b))
+            passed[s] += (a == b).sum() >= minhash.LEAST_AGREEING
+    assert passed[0.81] == 60 and passed[0.6] <= 10
