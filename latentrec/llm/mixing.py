@@ -10,7 +10,8 @@ by arithmetic. Unless given, ``P`` is the length of the mix by the exact targets
 A weight is then off by less than ``1 / P``, so rounding moves no source by more
 than a block over the whole mix, and any number of sources has a place. The
 driver counts through the blocks (not the rows) of one period; the schedule
-itself is a table that the rows are joined with.
+itself is a table that the rows are joined with. Blocks grow with the mix, so that
+a period has at most ``MAX_SLOTS`` slots, whatever the number of rows.
 
 No row is left out. The mix ends at the first slot by which every source has
 been placed whole; a source that is short of its weight by then starts its next
@@ -33,7 +34,9 @@ from pyspark.sql import types as T
 
 from latentrec.llm.common import col, free_prefix, quoted, shuffle_partitions, stored
 
-BLOCK_ROWS = 32
+BLOCK_ROWS = 32  # at least
+MAX_SLOTS = 2**20  # of a period
+BROADCAST_SOURCES = 2**16  # rows of the table of sources up to which it is broadcast
 PARTS = 1_000  # P of ``integer_weights`` by itself: weights are multiples of 1 / P
 ALPHA = 0.9  # default targets: source sizes to this power
 ADDED = ("slot", "place", "epoch", "block", "release", "deadline")
@@ -67,6 +70,14 @@ def mix_length(weights: dict, blocks: dict) -> int:
     return max((math.ceil(blocks[s] * total / w) for s, w in exact.items()), default=1)
 
 
+def block_size(counts: dict, weights: dict, least: int) -> int:
+    """Rows of a block: ``least``, doubled until the mix has ``MAX_SLOTS`` slots at most or each source is one block."""
+    size = least
+    while size < max(counts.values(), default=0) and mix_length(weights, {s: -(-n // size) for s, n in counts.items()}) > MAX_SLOTS:
+        size *= 2
+    return size
+
+
 def window(j: int, p: int, parts: int) -> tuple[int, int]:
     """Release slot and deadline of block ``j`` of a source with ``p`` of ``parts``."""
     return j * parts // p, -((j + 1) * -parts // p)
@@ -130,7 +141,7 @@ def mix(
 
     Sort by (slot, place) for the order of the mix. ``targets`` maps each source to its
     weight (any positive scale); without it sources weigh as their row counts
-    to the power ``alpha``. ``parts`` fixes the period ``P`` (weights are then rounded to
+    to the power ``alpha``. Blocks have ``block_rows`` rows, or more where the mix is long (``block_size``). ``parts`` fixes the period ``P`` (weights are then rounded to
     ``1 / P``); without it the period follows from the targets. A null source is a source of its own (key None).
     A source without a target is an error, not a loss. Repeated rows are rows
     like any other; an empty table gives an empty mix.
@@ -152,6 +163,7 @@ def mix(
     wanted = {s: targets[s] if targets else n**alpha for s, n in counts.items()}
     if any(not x > 0 or math.isinf(x) for x in wanted.values()):
         raise ValueError("target weights must be positive and finite")
+    block_rows = block_rows if parts else block_size(counts, wanted, block_rows)
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     parts = parts or mix_length(wanted, blocks)
     weights = integer_weights(wanted, parts)
@@ -165,7 +177,8 @@ def mix(
     s_type = df.schema[source_col].dataType
     longs = [T.StructField(x, T.LongType()) for x in (k, w, n_blocks, due)]
     # a row for each source
-    side = F.broadcast(spark.createDataFrame(plan, T.StructType([T.StructField(s, s_type), *longs])))
+    side = spark.createDataFrame(plan, T.StructType([T.StructField(s, s_type), *longs]))
+    side = F.broadcast(side) if len(plan) <= BROADCAST_SOURCES else side
     # a row for each slot of the period: the source, the block's turn in the period, the slot
     turns = [slots[src] for src in counts]
     period = {

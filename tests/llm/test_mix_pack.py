@@ -186,3 +186,40 @@ def test_pack_of_odd_rows(spark):
     assert packing.pack(docs_frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs_frame(spark, rows), capacity=0)
+
+
+def test_blocks_grow_so_that_the_schedule_does_not(spark, monkeypatch):
+    """The period stays under its bound, every row is placed, and no source is a block off its target."""
+    monkeypatch.setattr(mixing, "MAX_SLOTS", 40)
+    sizes = {"a": 4_000, "b": 900, "c": 70, None: 3}
+    rows = [(i, "t", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    out = mixing.mix(docs_frame(spark, rows)).collect()
+    wanted = {s: n**mixing.ALPHA for s, n in sizes.items()}
+    size = mixing.block_size(sizes, wanted, mixing.BLOCK_ROWS)
+    assert size > mixing.BLOCK_ROWS and max(r.mix_place for r in out) < size
+    assert {r.doc_id for r in out} == set(range(len(rows)))
+    parts = mixing.mix_length(wanted, {s: -(-n // size) for s, n in sizes.items()})
+    slots = {r.mix_slot: r.source for r in out}
+    assert len(slots) == max(slots) + 1 <= parts <= 40
+    weights = mixing.integer_weights(wanted, parts)
+    for s in sizes:
+        placed = 0
+        for t in range(len(slots)):
+            placed += slots[t] == s
+            assert abs(placed - weights[s] / parts * (t + 1)) < 1 + 1e-9
+
+
+def test_many_sources_and_a_tiny_target():
+    counts = dict.fromkeys(range(3_000), 10) | {"rare": 320}
+    targets = dict.fromkeys(range(3_000), 1.0) | {"rare": 3e-3}
+    size = mixing.block_size(counts, targets, 32)
+    blocks = {s: -(-n // size) for s, n in counts.items()}
+    parts = mixing.mix_length(targets, blocks)
+    assert parts <= mixing.MAX_SLOTS
+    weights = mixing.integer_weights(targets, parts)
+    slots = mixing.one_period(weights)
+    assert sum(map(len, slots.values())) == parts
+    for s in (0, 1_500, "rare"):
+        for j, t in enumerate(slots[s]):
+            release, deadline = mixing.window(j, weights[s], parts)
+            assert release <= t < deadline
