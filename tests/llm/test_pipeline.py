@@ -114,5 +114,12 @@ def test_packed_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
 
 def test_run_applies_all_stages(spark, corpus, monkeypatch):
     monkeypatch.setattr(toxicity.train, "__defaults__", (20, 5))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tables = lambda: {s.getPath().getName() for s in fs.listStatus(folder) if "latentrec-llm-" in s.getPath().getName()}
+    before = tables()
     out = corpus_pipeline.run(spark, corpus[1])
     assert {"doc_id", "bin_id", "n_words"} <= set(out.columns) and out.count() > 50
+    # the tables of earlier stages are gone
+    kinds = {name.split("-")[2] for name in tables() - before}
+    assert "mix" in kinds and not kinds & {"toxicity", "near_duplicates", "secrets", "sig", "buckets", "texts", "links", "sets", "schedule"}
