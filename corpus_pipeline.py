@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latentrec.llm import minhash, mixing, packing, secrets
 from latentrec.llm import toxicity as tox
-from latentrec.llm.common import free_prefix, ship, stored, table
+from latentrec.llm.common import drop, free_prefix, intermediates, shared_path, ship, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +68,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each one's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``, each one's result written and read again.
+
+    A stage's own tables go when its result is written, and that goes when the
+    next one's is; the tables behind the last result stay with it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = shared_path(spark, name)
+        with intermediates(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
