@@ -6,7 +6,7 @@ in different positions), so the parquet scan only reads the two id columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latentrec.functions.columns import ITEM, USER
@@ -71,6 +71,60 @@ def dropped_rows(
     )
 
 
+class Account:
+    """What became of the rows behind some pairs, counted while the pairs are read.
+
+    ``counts`` waits for the first action on the pairs (``plan_layout`` and
+    ``fit`` read them once) and costs no scan of its own. A row is counted
+    under the first cause that holds.
+    """
+
+    CAUSES = ("no_user", "no_item", "bad_user", "bad_item")
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.observation = Observation()
+
+    @property
+    def counts(self) -> dict[str, int]:
+        """``n_rows``, ``n_kept`` and the rows dropped by cause."""
+        return {k: int(v) for k, v in self.observation.get.items()}
+
+    def table(self) -> DataFrame:
+        """The counts as one row."""
+        names = ("n_rows", "n_kept", *self.CAUSES)
+        counts = self.counts
+        return self.spark.createDataFrame([[counts[n] for n in names]], ", ".join(f"{n} bigint" for n in names))
+
+
+def accounted_pairs(
+    df: DataFrame, user_col: str = "user_id", item_col: str = "movie_id", id_type: str | None = None
+) -> tuple[DataFrame, Account]:
+    """``to_pairs`` and an account of the rows it keeps and drops, from the same scan.
+
+    Causes: no user id, no item id, a user or item id that is not of ``id_type``.
+    """
+    account = Account(df.sparkSession)
+    user, item = F.col(user_col), F.col(item_col)
+    ids = df.select(
+        (user.try_cast(id_type) if id_type else user).alias(USER),
+        (item.try_cast(id_type) if id_type else item).alias(ITEM),
+        user.isNull().alias("_no_user"),
+        item.isNull().alias("_no_item"),
+    )
+    cause = (
+        F.when(F.col("_no_user"), "no_user")
+        .when(F.col("_no_item"), "no_item")
+        .when(F.col(USER).isNull(), "bad_user")
+        .when(F.col(ITEM).isNull(), "bad_item")
+    )
+    marked = ids.select(USER, ITEM, cause.alias("_cause"))
+    metrics = [F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("_cause").isNull(), 1)).alias("n_kept")]
+    metrics += [F.count(F.when(F.col("_cause") == c, 1)).alias(c) for c in Account.CAUSES]
+    seen = marked.observe(account.observation, *metrics)
+    return seen.where(F.col("_cause").isNull()).select(USER, ITEM).distinct(), account
+
+
 def events_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events``: user_id x the number ``k`` carried in ``props`` (``{"k": 69}``)."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")

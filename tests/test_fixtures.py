@@ -259,3 +259,27 @@ def test_sweep_in_groups_equals_single_fits(spark, monkeypatch):
     for k in (2, 3, 4):
         for row in fit(pairs, k, 3, seed=3).history_rows:
             assert got[k, row[1]] == pytest.approx(row[2], abs=1e-12)
+
+
+def test_account_of_dropped_rows_from_the_scan_of_the_fit(spark):
+    from latentrec.sources.interactions import accounted_pairs
+
+    rows = [("1", "10"), ("1", "10"), ("2", "11"), (None, "10"), ("3", None), (None, None), ("x", "10"), ("4", "y"), ("z", "y")]
+    rows += [(str(u), str(i)) for u in range(5) for i in range(20, 24)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    source = spark.createDataFrame(rows, "u string, i string")
+    pairs, account = accounted_pairs(source.mapInPandas(count, source.schema), "u", "i", "bigint")
+    layout = plan_layout(pairs, 2)
+    assert seen.value == len(rows)  # one scan for the pairs and the account
+    want = {"n_rows": 29, "n_kept": 23, "no_user": 2, "no_item": 1, "bad_user": 2, "bad_item": 1}
+    assert account.counts == want
+    assert account.table().first().asDict() == want
+    assert layout.n_pairs == 22 == to_pairs(source, "u", "i", "bigint").count()
+    plain, account = accounted_pairs(source, "u", "i")
+    assert plain.count() == 25 and account.counts["bad_user"] == account.counts["bad_item"] == 0
