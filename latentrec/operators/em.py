@@ -11,10 +11,20 @@ p(s|z):
 Expressions are written as SQL text and handed over in one call per
 projection: with K columns, building them as Column objects costs thousands
 of driver-JVM round trips per iteration for no change in the plan.
+
+Beyond ``MAX_UNROLLED`` classes the generated methods would be longer than the
+JVM compiles, and every row would be interpreted. There, a pair row carries
+p(z|u) and p(s|z) as two arrays, and ``array_sums`` does the E-step and the
+partial sums of a batch of rows on whole matrices; joins, the shuffle of the
+partial sums and the state are the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +36,8 @@ USER_ROW = 1
 ITEM_ROW = 2
 TOTAL_ROW = 3
 
+MAX_UNROLLED = 50  # classes up to which sums and products are columns of generated code
+
 Q = "q_"  # posterior q(z|u,s)
 PU = "pu_"  # p(z|u)
 PI = "pi_"  # p(s|z)
@@ -122,3 +134,64 @@ def loglik_only(joined: DataFrame, k: int):
         .agg(F.expr("sum(ll) AS ll"), F.expr("count(ll) AS n_ll"), F.expr("count(1) AS n_pairs"))
         .collect()[0]
     )
+
+
+# ---- many classes -----------------------------------------------------------------
+
+
+def packed(factors: DataFrame, key: str, prefix: str, k: int) -> DataFrame:
+    """``(key, <prefix>)``: the K columns of a parameter row (or posterior) as one array."""
+    return factors.select(key, F.array(*names(prefix, k)).alias(prefix))
+
+
+def array_sums(rows: DataFrame, k: int) -> DataFrame:
+    """As ``m_step_sums``, for rows with arrays: ``pu_`` and ``pi_``, or a given posterior ``q_``.
+
+    Every batch is reduced to one row per user and per item in it and one total,
+    inside the task, so what is shuffled are partial sums, as before.
+    """
+    given = Q in rows.columns
+    ids = {c: rows.schema[c].dataType.simpleString() for c in (USER, ITEM)}
+    values = [Q] if given else [PU, PI]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first, *second = (b[c].flatten().to_numpy(zero_copy_only=False).reshape(-1, k) for c in values)
+            if given:
+                q, ll, known = first, np.zeros(len(first)), np.zeros(len(first), np.int64)
+            else:
+                q = first * second[0]
+                psu = q.sum(1)
+                known = (psu > 0).astype(np.int64)
+                some = np.where(known, psu, 1.0)
+                q, ll = np.where(known[:, None] > 0, q / some[:, None], 0.0), np.log(some)
+            for gid, key in ((USER_ROW, USER), (ITEM_ROW, ITEM), (TOTAL_ROW, None)):
+                if key is None:
+                    keys, code = None, np.zeros(len(q), np.int64)
+                else:
+                    coded = b[key].dictionary_encode()
+                    keys, code = coded.dictionary, coded.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+                add = lambda x, order=order, starts=starts: np.add.reduceat(x[order], starts, axis=0)
+                n = len(starts)
+                own = {key: keys.take(pa.array(code[order][starts]))} if key else {}
+                none = lambda c: pa.nulls(n, b.schema.field(c).type)  # noqa: B023, E731
+                sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(add(q).ravel()))
+                columns = [own.get(c, none(c)) for c in (USER, ITEM)]
+                columns += [sums, pa.array(add(ll)), pa.array(add(known)), pa.array(add(np.ones(len(q), np.int64)))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, gid, np.int64))], [*ids, "n", "ll", "n_ll", "n_pairs", "gid"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in ids.items())
+    part = rows.select(*ids, *values).mapInArrow(run, f"{schema}, n array<double>, ll double, n_ll long, n_pairs long, gid long")
+    sums = [F.expr(f"sum(n[{z}]) AS {N}{z}") for z in range(k)] + [F.expr(f"sum({c}) AS {c}") for c in ("ll", "n_ll", "n_pairs")]
+    return part.groupBy(USER, ITEM, "gid").agg(*sums).select(USER, ITEM, *names(N, k), "ll", "n_ll", "n_pairs", "gid")
+
+
+def array_loglik(joined: DataFrame):
+    """As ``loglik_only``, for rows with arrays."""
+    psu = f"aggregate(zip_with({PU}, {PI}, (x, y) -> x * y), 0D, (s, x) -> s + x) AS psu"
+    sums = [F.expr("sum(ll) AS ll"), F.expr("count(ll) AS n_ll"), F.expr("count(1) AS n_pairs")]
+    return joined.selectExpr(psu).selectExpr(f"{ln_sql('psu')} AS ll").agg(*sums).collect()[0]

@@ -31,7 +31,7 @@ from latentrec.plans.layout import (
     ids_are_integral,
     plan_layout,
 )
-from latentrec.plans.sweep import fit_group, groups
+from latentrec.plans.sweep import MAX_COLUMNS, fit_ragged
 
 HISTORY_SCHEMA = T.StructType(
     [
@@ -184,7 +184,10 @@ def fit(
             layout.pairs, k, init, seed, layout.user_rank, layout.item_rank
         ).select(USER, ITEM, *qcols)
 
-    state = cut_lineage(em.m_step_sums(start, k))
+    wide = k > em.MAX_UNROLLED
+    if wide:
+        start = start.select(USER, ITEM, F.array(*qcols).alias(em.Q))
+    state = cut_lineage(em.array_sums(start, k) if wide else em.m_step_sums(start, k))
     summary = em.state_summary(state)
     class_mass = [float(summary[f"{em.N}{z}"] or 0.0) for z in range(k)]
 
@@ -192,14 +195,19 @@ def fit(
     for t in range(1, n_iter + 1):
         users = em.user_factors(state, k)
         items = em.item_factors(state, k, class_mass)
+        if wide:
+            users, items = em.packed(users, USER, em.PU, k), em.packed(items, ITEM, em.PI, k)
         joined = layout.attach(users, items)
         if t < n_iter:
-            posterior = em.e_step(joined, k, keep=[USER, ITEM])
-            next_state = cut_lineage(em.m_step_sums(posterior, k))
+            if wide:
+                sums = em.array_sums(joined, k)
+            else:
+                sums = em.m_step_sums(em.e_step(joined, k, keep=[USER, ITEM]), k)
+            next_state = cut_lineage(sums)
             s = em.state_summary(next_state)
             history.append(_history_row(k, t, s["ll"], s["n_ll"], s["n_pairs"]))
         else:
-            s = em.loglik_only(joined, k)
+            s = em.array_loglik(joined) if wide else em.loglik_only(joined, k)
             history.append(_history_row(k, t, s["ll"], s["n_ll"], s["n_pairs"]))
             next_state = None
         if tol is not None and t >= 2 and _gain(history) <= tol:
@@ -227,23 +235,22 @@ def sweep(
     seed: int = 0,
     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
     rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
+    tol: float | None = None,
 ) -> DataFrame:
     """Likelihood curves for several K on one stored pair layout.
 
-    K are fitted in groups (see ``latentrec.plans.sweep``): one pass over the
-    pairs per iteration serves all K of a group.
+    One pass over the pairs serves all K that run at the time (see
+    ``latentrec.plans.sweep``). With ``tol`` each K stops as in ``fit``, and
+    its columns go to the next K.
     """
     rank = init == "weighted" and not ids_are_integral(pairs)
-    parts = groups(ks)
-    widest = max((sum(g) for g in parts), default=1)
+    widest = max([min(sum(set(ks)), MAX_COLUMNS), *ks], default=1)
     layout = plan_layout(pairs, widest, broadcast_limit, rows_per_partition, rank_ids=rank)
     if layout.n_pairs == 0:
         raise ValueError("no pairs to fit: the interactions are empty or every row lacks an id")
-    rows: dict[tuple[int, int], tuple] = {}
-    for group in parts:
-        for k, t, ll, n_ll, n_pairs in fit_group(layout, group, n_iter, init, seed):
-            rows[k, t] = _history_row(k, t, ll, n_ll, n_pairs)
-    ordered = [rows[k, t] for k in ks for t in range(1, n_iter + 1)]
+    found = fit_ragged(layout, ks, n_iter, init, seed, tol)
+    rows = {(k, t): _history_row(k, t, ll, n_ll, n_pairs) for k, t, ll, n_ll, n_pairs in found}
+    ordered = [rows[k, t] for k in ks for t in range(1, n_iter + 1) if (k, t) in rows]
     out = layout.pairs.sparkSession.createDataFrame(ordered, HISTORY_SCHEMA)
     layout.close()
     return out
