@@ -34,6 +34,7 @@ from latentrec.plans.model import fit, sweep
 from latentrec.plans.recommend import predict, recommend, score_summary
 from latentrec.session import checkpoint_dir
 from latentrec.sources.interactions import (
+    accounted_pairs,
     customer_brand_pairs,
     customer_part_pairs,
     dropped_rows,
@@ -175,6 +176,11 @@ def q_k_sweep(spark, sf):
     return _history(sweep(_pairs(spark, sf), SWEEP_KS, SWEEP_ITERATIONS, init="weighted"))
 
 
+def q_k_sweep_tol(spark, sf):
+    """Curves that end where they stop gaining, each K on its own."""
+    return _history(sweep(_pairs(spark, sf), SWEEP_KS, TOL_ITERATIONS, init="weighted", tol=TOL))
+
+
 def q_candidate_grid(spark, sf):
     return candidate_grid(_pairs(spark, sf))
 
@@ -287,13 +293,16 @@ def _shared(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/latentrec-{name}-{uuid.uuid4().hex}"
 
 
-def _events_csv(spark, sf):
-    """All events as CSV rows ``kind, props_k, uid``: some lack the number."""
+def _events_csv(spark, sf, blanks=False, invalid=False):
+    """All events as CSV rows ``kind, props_k, uid``; some lack the number, or hold none, if asked for."""
     path = _shared(ready(spark), "csv")
     ev = spark.read.parquet(f"{sf}/events.parquet")
-    number = F.regexp_extract(F.col("props"), "[0-9]+", 0).try_cast("bigint")
-    odd = F.when(F.col("user_id") % 7 == 0, F.lit(None)).otherwise(number)  # rows without an item
-    ev.select(F.lit("event").alias("kind"), odd.alias("props_k"), F.col("user_id").alias("uid")).write.option(
+    item = F.regexp_extract(F.col("props"), "[0-9]+", 0).try_cast("bigint").cast("string")
+    if blanks:
+        item = F.when(F.col("user_id") % 7 == 0, F.lit(None)).otherwise(item)
+    if invalid:
+        item = F.when(F.col("user_id") % 11 == 0, F.concat(F.lit("x"), item)).otherwise(item)
+    ev.select(F.lit("event").alias("kind"), item.alias("props_k"), F.col("user_id").alias("uid")).write.option(
         "header", True
     ).csv(path)
     return read_interactions(spark, path)
@@ -303,8 +312,15 @@ def q_csv_round_trip(spark, sf):
     return to_pairs(_events_csv(spark, sf), "uid", "props_k", "bigint")
 
 
+def q_csv_account(spark, sf):
+    """Rows kept and dropped by cause, counted by the scan that a fit reads its pairs with."""
+    pairs, account = accounted_pairs(_events_csv(spark, sf, blanks=True, invalid=True), "uid", "props_k", "bigint")
+    fit(pairs, K, 1).close()
+    return account.table()
+
+
 def q_csv_dropped_rows(spark, sf):
-    return dropped_rows(_events_csv(spark, sf), "uid", "props_k", "bigint")
+    return dropped_rows(_events_csv(spark, sf, blanks=True), "uid", "props_k", "bigint")
 
 
 def q_dimension_table(spark, sf):
@@ -364,6 +380,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_params_3iter": q_fit_params_3iter,
     "fit_tol": q_fit_tol,
     "k_sweep": q_k_sweep,
+    "k_sweep_tol": q_k_sweep_tol,
     "candidate_grid": q_candidate_grid,
     "score_components": q_score_components,
     "score_pairs": q_score_pairs,
@@ -384,6 +401,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "customer_part_loglik_history": q_customer_part_loglik_history,
     "fit_hashed_seed": q_fit_hashed_seed,
     "csv_round_trip": q_csv_round_trip,
+    "csv_account": q_csv_account,
     "csv_dropped_rows": q_csv_dropped_rows,
     "dimension_table": q_dimension_table,
     "predictions_round_trip": q_predictions_round_trip,
@@ -420,18 +438,30 @@ def _sweep_sql() -> str:
     return oracle.with_ctes(ctes, " UNION ALL ".join(bodies))
 
 
-def _tol_sql() -> str:
-    h = oracle.history_cte(K, TOL_ITERATIONS)
+def _stop_ctes(k: int, tag: str = "") -> list[str]:
     gains = (
-        "gains AS (SELECT iteration, mean_log_likelihood - lag(mean_log_likelihood) "
-        "OVER (ORDER BY iteration) AS gain FROM hist)"
+        f"{tag}gains AS (SELECT iteration, mean_log_likelihood - lag(mean_log_likelihood) "
+        f"OVER (ORDER BY iteration) AS gain FROM {tag}hist)"
     )
     stop = (
-        f"stop AS (SELECT coalesce(min(iteration), {TOL_ITERATIONS}) AS last FROM gains "
+        f"{tag}stop AS (SELECT coalesce(min(iteration), {TOL_ITERATIONS}) AS last FROM {tag}gains "
         f"WHERE iteration >= 2 AND gain <= {TOL!r})"
     )
+    return [oracle.history_cte(k, TOL_ITERATIONS, tag), gains, stop]
+
+
+def _tol_sql() -> str:
     body = _hist_body() + " WHERE iteration <= (SELECT last FROM stop)"
-    return _sql(TOL_ITERATIONS, body, extra=[h, gains, stop])
+    return _sql(TOL_ITERATIONS, body, extra=_stop_ctes(K))
+
+
+def _sweep_tol_sql() -> str:
+    ctes, bodies = [], []
+    for k in SWEEP_KS:
+        tag = f"k{k}_"
+        ctes += oracle.em_ctes("events", k, TOL_ITERATIONS, tag=tag) + _stop_ctes(k, tag)
+        bodies.append(_hist_body(tag) + f" WHERE iteration <= (SELECT last FROM {tag}stop)")
+    return oracle.with_ctes(ctes, " UNION ALL ".join(bodies))
 
 
 _HISTOGRAM_CTES = [
@@ -484,6 +514,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "fit_tol": _tol_sql(),
     "k_sweep": _sweep_sql(),
+    "k_sweep_tol": _sweep_tol_sql(),
     "candidate_grid": oracle.with_ctes(
         [f"pairs AS ({oracle.PAIRS_SQL['events']})"] + oracle.grid_ctes(), "SELECT user_id, item_id FROM grid"
     ),
@@ -539,7 +570,15 @@ ORACLE_SQL: dict[str, str] = {
         2, _hist_body(), extra=[oracle.history_cte(K, 2)], source="customer_part"
     ),
     "fit_hashed_seed": _sql(ITER_SCORING, _hist_body(), extra=[oracle.history_cte(K, ITER_SCORING)], seed=7),
-    "csv_round_trip": f"SELECT * FROM ({oracle.PAIRS_SQL['events']}) WHERE user_id % 7 <> 0",
+    "csv_round_trip": oracle.PAIRS_SQL["events"],
+    "csv_account": (
+        "WITH c AS (SELECT CASE WHEN user_id IS NULL THEN 'no_user' "
+        f"WHEN user_id % 7 = 0 OR {oracle._ITEM_K} IS NULL THEN 'no_item' "
+        "WHEN user_id % 11 = 0 THEN 'bad_item' END AS cause FROM events) "
+        "SELECT count(*) AS n_rows, count(*) FILTER (cause IS NULL) AS n_kept, count(*) FILTER (cause = 'no_user') AS no_user, "
+        "count(*) FILTER (cause = 'no_item') AS no_item, CAST(0 AS BIGINT) AS bad_user, "
+        "count(*) FILTER (cause = 'bad_item') AS bad_item FROM c"
+    ),
     "csv_dropped_rows": (
         "SELECT count(*) AS n_rows, count(*) FILTER (user_id IS NULL OR user_id % 7 = 0 OR "
         f"{oracle._ITEM_K} IS NULL) AS n_dropped FROM events"
