@@ -11,7 +11,8 @@ A weight is then off by less than ``1 / P``, so rounding moves no source by more
 than a block over the whole mix, and any number of sources has a place. The
 driver counts through the blocks (not the rows) of one period; the schedule
 itself is a table that the rows are joined with. Blocks grow with the mix, so that
-a period has at most ``MAX_SLOTS`` slots, whatever the number of rows.
+a period has at most ``MAX_SLOTS`` slots (or one for each source), whatever the
+number of rows.
 
 No row is left out. The mix ends at the first slot by which every source has
 been placed whole; a source that is short of its weight by then starts its next
@@ -64,18 +65,23 @@ def integer_weights(weights: dict, parts: int = PARTS) -> dict:
 
 
 def mix_length(weights: dict, blocks: dict) -> int:
-    """Slots after which every source has been placed whole, by its exact weight."""
+    """Slots after which every source of ``blocks`` has been placed whole, by its exact weight."""
     exact = {s: Fraction(w) for s, w in weights.items()}
     total = sum(exact.values())
-    return max((math.ceil(blocks[s] * total / w) for s, w in exact.items()), default=1)
+    return max((math.ceil(n * total / exact[s]) for s, n in blocks.items()), default=1)
 
 
 def block_size(counts: dict, weights: dict, least: int) -> int:
-    """Rows of a block: ``least``, doubled until the mix has ``MAX_SLOTS`` slots at most or each source is one block."""
+    """Rows of a block: ``least``, doubled until sources of several blocks need ``MAX_SLOTS`` slots at most.
+
+    Sources of one block are placed once in any period, however small their weight.
+    """
     size = least
-    while size < max(counts.values(), default=0) and mix_length(weights, {s: -(-n // size) for s, n in counts.items()}) > MAX_SLOTS:
+    while True:
+        several = {s: n for s, n in ((s, -(-n // size)) for s, n in counts.items()) if n > 1}
+        if not several or mix_length(weights, several) <= MAX_SLOTS:
+            return size
         size *= 2
-    return size
 
 
 def window(j: int, p: int, parts: int) -> tuple[int, int]:
@@ -165,7 +171,7 @@ def mix(
         raise ValueError("target weights must be positive and finite")
     block_rows = block_rows if parts else block_size(counts, wanted, block_rows)
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    parts = parts or mix_length(wanted, blocks)
+    parts = parts or min(mix_length(wanted, blocks), max(MAX_SLOTS, len(blocks)))
     weights = integer_weights(wanted, parts)
     slots = one_period(weights)
     slot_of = lambda src, b: b // weights[src] * parts + slots[src][b % weights[src]]
