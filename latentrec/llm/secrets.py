@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 2_000  # texts the models are trained on, at most
 SAMPLE_CHARS = 4_000  # of each of them, and the runs without blanks at the excerpts' ends
+FAR, LONGEST = 8_500, 16_000  # characters to the next blank; of all parts of a text, about
 EXCERPTS = 8
 GENERATED = 20_000
 THRESHOLD = 0.9  # nats per character
@@ -205,20 +206,27 @@ def render(spans: list[tuple[int, int, int]]) -> str:
 def excerpt(text: str) -> str:
     """The text, or ``EXCERPTS`` parts of it: one at a hashed place of each of as many stretches.
 
-    Parts begin and end at blanks, so no word is cut, unless it is so long that
-    none is near: a part has twice its share of characters at most.
+    Parts begin and end at blanks, so no word is cut, unless none is within
+    ``FAR`` characters; where that has made the parts ``LONGEST`` long, the
+    others are cut hard.
     """
     if len(text) <= SAMPLE_CHARS:
         return text
     rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-    size, stretch, out, at = SAMPLE_CHARS // EXCERPTS, len(text) / EXCERPTS, [], 0
+    size, stretch, out, at, held = SAMPLE_CHARS // EXCERPTS, len(text) / EXCERPTS, [], 0, 0
     for i in range(EXCERPTS):
-        lo = int(i * stretch + rng.random() * (stretch - size))
-        blank = max(text.rfind(c, max(at, lo - size), lo) for c in " \n\t")
-        lo = max(at, blank + 1 if blank >= 0 else lo)
-        ends = [text.find(c, lo + size, lo + 2 * size) for c in " \n\t"]
-        at = min((e for e in ends if e >= 0), default=min(len(text), lo + size))
+        lo = max(at, int(i * stretch + rng.random() * (stretch - size)))
+        far = FAR if held < LONGEST else 0
+        blank = max(text.rfind(c, max(at, lo - far), lo) for c in " \n\t")
+        if blank >= 0:
+            lo = blank + 1
+        elif lo - at <= far:
+            lo = at
+        hi = min(len(text), lo + size)
+        ends = [e for e in (text.find(c, hi, hi + far) for c in " \n\t") if e >= 0]
+        at = min(ends, default=len(text) if len(text) - hi <= far else hi)
         out.append(text[lo:at])
+        held += at - lo
         if at == len(text):
             break
     return "\n".join(out)

@@ -206,3 +206,9 @@ def test_redact_keeps_rows_and_columns(spark):
     assert sum(t is None for t in texts) == sum(t is None for _, t, _ in rows)
     assert not any(plain_base(t or "") for t in texts)
     assert words(6_000, 99) in texts
+
+
+def test_excerpts_of_texts_without_blanks_are_bounded():
+    for n in (30_000, 400_000):
+        found = secrets.excerpt("".join(chr(97 + i * i % 23) for i in range(n)))
+        assert 2_000 <= len(found) <= 40_000 and len(found.split("\n")) >= 4
