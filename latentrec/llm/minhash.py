@@ -282,12 +282,12 @@ def links(docs: DataFrame, threshold: float, bands: int, rows: int, k: int, id_c
     sizes = by_root.groupBy("band", "h").agg(
         F.max(F.struct("n", "w", "root")).alias("most"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("w").alias("w")
     )
-    cells = lambda n, w, most: F.ceil(F.greatest(n / most, w / CELL_WEIGHT)).cast("int")
+    parts = lambda n, w, most: F.ceil(F.greatest(n / most, w / CELL_WEIGHT)).cast("int")
     sizes = sizes.where("classes > 1").select(
         "band", "h", F.col("most.root").alias("main"),
         (F.col("n") - F.col("most.n") >= PIVOTS).alias("hot"),
-        cells(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"), PIVOT_CHUNK).alias("chunks"),
-        cells(F.col("n"), F.col("w"), MEMBERS).alias("salts"),
+        parts(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"), PIVOT_CHUNK).alias("chunks"),
+        parts(F.col("n"), F.col("w"), MEMBERS).alias("salts"),
     )
     apart = stored(apart.select("band", "h", "key", "weight", "bands", "root").join(sizes, ["band", "h"]), "apart")
     needed = apart.groupBy("key").agg(F.max("hot").alias("hot"))
@@ -323,14 +323,12 @@ def described(texts: DataFrame, idf, k: int) -> DataFrame:
     return texts.select("key", "hot", "t").mapInPandas(run, "key string, sketch binary, ids binary, tf binary")
 
 
-def met(members: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` of classes (roots) that a pivot and another member of its bucket link.
+def cells(members: DataFrame) -> DataFrame:
+    """Rows of the cells in which pivots (kind 0) and members (kind 1) of a bucket meet.
 
-    Pivots are the members that are not in the bucket's largest class. A cell
-    holds some pivots of a bucket and streams some of its members past them.
-    Two pivots meet in one of their two cells, a pair of several buckets in its
-    first band. A pivot that was linked to a class in the cell is not compared
-    with the rest of it.
+    Pivots are the members that are not in the bucket's largest class. They are
+    dealt to ``chunks``, all members to ``salts``: a pivot has a row for each salt,
+    a member for each chunk, so copies grow with the cells of a bucket, not its rows.
     """
     zero = F.lit(0)
     common = ("band", "h", "key", "weight", "bands", "root")
@@ -343,7 +341,18 @@ def met(members: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame
         *common, F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"),
         F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), lone.alias("lone"),
     )
-    both = first.unionByName(other).join(sets, "key")
+    return first.unionByName(other)
+
+
+def met(members: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` of classes (roots) that a pivot and another member of its bucket link.
+
+    A cell holds some pivots of a bucket and streams some of its members past
+    them. Two pivots meet in one of their two cells, a pair of several buckets
+    in its first band. A pivot that was linked to a class in the cell is not
+    compared with the rest of it.
+    """
+    both = cells(members).join(sets, "key")
     cell = ("band", "h", "chunk", "salt")
     ordered = both.repartition(shuffle_partitions(members.sparkSession), *cell).sortWithinPartitions(*cell, "kind", "key")
     names = (*cell, "kind", "key", "weight", "bands", "root", "lone", "sketch", "ids", "tf")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import docs_frame, edited, odd_rows, words
 
 from latentrec.llm import minhash, passages
@@ -274,21 +275,21 @@ def test_registered_settings_against_all_pairs(spark, rows):
     assert found_classes(minhash.near_duplicate_classes(docs_frame(spark, rows)).collect()) == want
 
 
-@pytest.mark.parametrize("n", [1_000, 4_000])
-def test_copies_of_a_member_do_not_grow_with_its_bucket(spark, monkeypatch, n):
-    """A bucket of dissimilar texts: each is copied once for each cell of pivots, in cells of bounded size."""
-    from pyspark.sql import functions as F
-
-    seen = spark.sparkContext.accumulator(0)
-    monkeypatch.setattr(minhash.Pivots, "candidates", lambda *a: seen.add(1) or [])
-    rows = [(0, 7, f"k{i}", 100.0, [7], f"k{i}", "k0", True, -(-n // 1_024), -(-n // 1_024)) for i in range(n)]
+@pytest.mark.parametrize("n", [1_000, 2_500])
+def test_copies_of_a_member_follow_the_cells_of_its_bucket(spark, n):
+    """A bucket of dissimilar texts: a row for each cell of pivots or members, all cells of bounded size."""
+    cells = -(-n // minhash.MEMBERS)
+    rows = [(0, 7, f"k{i}", 100.0, [7], f"k{i}", "k0", cells, cells) for i in range(n)]
     members = spark.createDataFrame(
-        rows, "band int, h long, key string, weight double, bands array<long>, root string, main string, hot boolean, chunks int, salts int"
+        rows, "band int, h long, key string, weight double, bands array<long>, root string, main string, chunks int, salts int"
     )
-    sets = members.select("key", *[F.lit(b"").alias(c) for c in ("sketch", "ids", "tf")])
-    idf = spark.sparkContext.broadcast(minhash.idf_table(np.zeros(minhash.FEATURES), 10))
-    assert minhash.met(members, sets, idf, 0.8).count() == 0
-    assert seen.value == n * -(-n // 1_024)
+    dealt = minhash.cells(members)
+    assert {r["kind"]: r["count"] for r in dealt.groupBy("kind").count().collect()} == {0: (n - 1) * cells, 1: n * cells}
+    sizes = dealt.groupBy("chunk", "salt", "kind").count().collect()
+    assert len(sizes) == 2 * cells * cells and max(r["count"] for r in sizes) < 1.2 * minhash.MEMBERS
+    # every pivot meets every other member in exactly one cell
+    pivots, others = (dealt.where(f"kind = {x}").select("chunk", "salt", F.col("key").alias(f"k{x}")) for x in (0, 1))
+    assert pivots.join(others, ["chunk", "salt"]).select("k0", "k1").distinct().count() == (n - 1) * n
 
 
 def test_sketches_keep_pairs_at_the_threshold():
