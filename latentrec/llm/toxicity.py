@@ -366,13 +366,12 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """Network trained on labelled texts that are not held out.
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(h, i, y, t)``: labelled texts that are not held out, in no order.
 
     Of each label at most ``rows`` texts are taken, by a threshold on a hash of
-    the id that leaves about twice as many and then by the smallest hashes. One
-    task trains on them, which are bounded in number and length.
-    Rows without id, text or label, or with other labels, do not train.
+    the id that leaves about twice as many and then by the smallest hashes.
+    Rows without id, text or label, and with other labels, are left out.
     """
     y = F.col("toxic").cast("int")
     known = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull()).select(
@@ -388,6 +387,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
         share = min(1.0, 2 * rows / max(1, sizes.get(label, 0)))
         some = known.where((F.col("y") == label) & (F.col("h") < int(share * 2**40)))
         parts.append(short.join(some, "i").groupBy("h", "i", "y").agg(F.min("t").alias("t")).orderBy("h", "i").limit(rows))
+    return parts[0].union(parts[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Network:
+    """Network trained on the texts of ``training_sample``, by one task: they are bounded in number and length."""
     settings = train.__defaults__
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -397,7 +401,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
         yield pd.DataFrame({"net": [pickle.dumps(net)]})
 
     # in a task, which has the memory for it; the driver gets the network alone
-    found = parts[0].union(parts[1]).repartition(1).mapInPandas(learn, "net binary").collect()
+    sample = training_sample(docs, labels, rows, id_col, text_col)
+    found = sample.repartition(1).mapInPandas(learn, "net binary").collect()
     return pickle.loads(bytes(found[0]["net"])) if found else train([], [], *settings)
 
 
