@@ -230,6 +230,90 @@ def test_planted_passages_are_found_and_others_are_not(spark):
     assert len(out) <= 6 * len(rows)  # in proportion to the documents, not to their pairs
 
 
+def passages_of(spark, texts):
+    """Pairs of documents with a row, and the words that each document's spans cover."""
+    out = passages.shared_passages(docs_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    pairs, covered = set(), defaultdict(set)
+    for r in out:
+        pairs.add((r.doc_id, r.other_id))
+        before = len(texts[r.doc_id][: r.start].split())
+        covered[r.doc_id] |= set(range(before, before + len(texts[r.doc_id][r.start : r.end].split())))
+    return pairs, covered
+
+
+@pytest.mark.parametrize("holders", [2, 30])
+def test_partial_quotes_hide_no_passage(spark, holders):
+    whole = words(64, 50).split()
+    parts = [whole[:38], whole[24:], whole[:30], whole[30:], whole[12:52]] * 6  # whichever ids hash first
+    texts = [" ".join([words(25, 3_000 + i), *p, words(25, 4_000 + i)]) for i, p in enumerate(parts)]
+    full = range(len(texts), len(texts) + holders)
+    texts += [f"{words(25, 3_000 + i)} {' '.join(whole)} {words(25, 4_000 + i)}" for i in full]
+    pairs, covered = passages_of(spark, texts)
+    assert set(covered) == set(full)
+    assert all(set(range(25, 89)) <= covered[i] for i in full)
+    # one class: who is not listed with each other is listed by way of others
+    near, ahead = {full[0]}, [full[0]]
+    while ahead:
+        i = ahead.pop()
+        new = {b for a, b in pairs if a == i} - near
+        near |= new
+        ahead += new
+    assert near == set(full)
+    assert len(pairs) <= 4 * len(texts)
+
+
+def test_pairs_beside_a_frequent_line_are_found(spark):
+    line, own = words(24, 60), [words(30, 70 + i) for i in range(15)]
+    # pairs (i, i + 15) share 54 words, all others the line alone, which is frequent
+    texts = [f"{words(20, 5_000 + i)} {line} {own[i % 15]} {words(20, 6_000 + i)}" for i in range(30)]
+    pairs, _ = passages_of(spark, texts)
+    assert pairs == {(i, (i + 15) % 30) for i in range(30)}
+
+
+def test_variants_under_the_threshold_hide_no_passage(spark):
+    whole = words(60, 80)
+    kinds = [edited(whole, 6), whole, edited(whole, 7).replace("edit", "other")]
+    texts = [f"{words(20, 7_000 + i)} {kinds[i % 3]} {words(20, 8_000 + i)}" for i in range(60)]
+    pairs, covered = passages_of(spark, texts)
+    for kind in range(3):
+        assert {i for i in covered if i % 3 == kind} in (set(range(kind, 60, 3)), set())
+    assert set(range(1, 60, 3)) <= set(covered)
+
+
+def test_all_pairs_are_listed_where_few_share(spark):
+    rng = random.Random(12)
+    blocks = [words(rng.randint(52, 80), 9_000 + b) for b in range(6)]
+    held = [sorted(rng.sample(range(6), 2)) for _ in range(8)]
+    texts = [f"{words(20, 9_100 + i)} {blocks[x]} {words(20, 9_200 + i)} {blocks[y]}" for i, (x, y) in enumerate(held)]
+    pairs, covered = passages_of(spark, texts)
+    assert pairs == {(i, j) for i in range(8) for j in range(8) if i != j and set(held[i]) & set(held[j])}
+
+
+def test_a_passage_held_twice_is_matched_in_both_places(spark):
+    block = words(60, 90)
+    twice = f"{words(20, 91)} {block} {words(30, 92)} {block} {words(20, 93)}"
+    _, covered = passages_of(spark, [twice, *[f"{words(20, 9_300 + i)} {block} {words(20, 9_400 + i)}" for i in range(3)]])
+    assert set(range(20, 80)) | set(range(110, 170)) <= covered[0]
+
+
+def test_words_said_again_and_again_are_a_passage(spark):
+    texts = [f"{words(20, 9_500 + i)} {'the ' * n}{words(20, 9_600 + i)}" for i, n in enumerate([70, 300, 12, 55] + [20] * 20)]
+    pairs, covered = passages_of(spark, texts)
+    assert set(covered) == {0, 1, 3}
+    assert pairs in ({(i, j) for i in (0, 1, 3) for j in (0, 1, 3) if i != j}, {(0, 1), (1, 0), (1, 3), (3, 1)})
+
+
+def test_runs_and_their_matches():
+    h, u, p = np.array([5] * 60 + [7, 7, 7, 9]), np.zeros(64, np.int64), np.array([*range(60), 70, 75, 99, 80])
+    got = [tuple(int(v[i]) for v in passages.runs(h, u, p)) for i in range(5)]
+    assert got == [(5, 0, 0, 1, 60), (7, 0, 70, 0, 1), (7, 0, 75, 0, 1), (7, 0, 99, 0, 1), (9, 0, 80, 0, 1)]
+    of = lambda *rows: tuple(np.array(x) for x in zip(*rows))
+    _, pb, pa = passages.matches(of((5, 0, 1, 100)), of((5, 10, 1, 60)))
+    assert {(0, 10), (59, 69), (99, 69), (40, 10)} <= set(zip(pb.tolist(), pa.tolist()))
+    _, pb, pa = passages.matches(of((5, 0, 0, 1), (5, 40, 0, 1)), of((5, 7, 0, 1), (5, 90, 0, 1)))
+    assert set(zip(pb.tolist(), pa.tolist())) == {(0, 7), (0, 90), (40, 7), (40, 90)}
+
+
 def test_passages_of_odd_rows(spark):
     long = words(3_000, 5)
     rows = odd_rows() + [(20, long, "s"), (21, edited(long, 200), "s"), (21, edited(long, 200), "s"), (None, long, "s")]
