@@ -314,6 +314,63 @@ def test_runs_and_their_matches():
     assert set(zip(pb.tolist(), pa.tolist())) == {(0, 7), (0, 90), (40, 7), (40, 90)}
 
 
+def test_pairs_of_a_frequent_line_alone_are_not_aligned(spark, monkeypatch):
+    """Holders of a line in one or two places, or of one word said again, share no passage: cells pass over them."""
+    line, own = words(24, 60), words(30, 61)
+    texts = [f"{words(20, 5_100 + i)} {line} {words(700, 6_100 + i)} {line if i % 2 else ''} {words(20, 7_100 + i)}" for i in range(30)]
+    texts += [f"{words(20, 8_100 + i)} {'so ' * (12 + i % 9)}{words(20, 9_100 + i)}" for i in range(20)]
+    texts += [f"{words(20, 5_200 + i)} {line} {own} {words(20, 6_200 + i)}" for i in range(2)]
+    looked, before = [], passages.apart_pairs
+    monkeypatch.setattr(passages, "apart_pairs", lambda *a: looked.append(before(*a).distinct().cache()) or looked[-1])
+    pairs, _ = passages_of(spark, texts)
+    assert pairs == {(50, 51), (51, 50)}
+    assert {(r.b, r.a) for r in looked[0].collect()} == set()
+
+
+def test_seeds_of_one_class_get_no_lists(spark, monkeypatch):
+    whole = words(200, 62)
+    texts = [f"{words(10, 5_300 + i)} {whole} {words(10, 5_400 + i)}" for i in range(12)]
+    kept, before = {}, passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, name: kept.setdefault(name, []).append(before(df, name)) or kept[name][-1])
+    pairs, covered = passages_of(spark, texts)
+    assert set(covered) == set(range(12)) and len(pairs) >= 22
+    assert kept["members"][0].count() > 0 and kept["members"][-1].count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_passed_over_pairs_make_no_passage(seed):
+    """``may_reach`` against chaining and aligning two texts, made of few lines and repeated words."""
+    rng = random.Random(seed)
+    lines = [words(n, 700 + n).split() for n in (18, 26, 34, 45)] + [["la"] * n for n in (9, 24, 46)] + [["ti", "to"] * 10]
+    hasher, decided = WordHasher(), 0
+    for t in range(60):
+        two = []
+        for side in range(2):
+            parts = [edited(" ".join(rng.choice(lines)), rng.choice((9, 14, 90))).split() for _ in range(rng.randint(1, 3))]
+            two.append(hasher.hashes(" ".join(w for i, x in enumerate(parts) for w in [*words(rng.choice((0, 1, 2, 12, 60)), 31 * t + 3 * side + i).split(), *x])))
+        rows = []
+        for w in two:
+            h, at = passages.seeds(w)
+            h, _, p, step, times = passages.runs(h, np.zeros(len(h), np.int64), at)
+            e = p + step * np.maximum(times - 1, 0)
+            rows.append((h, p, step, times, e, passages.beside_places(w, p, e, step, passages.K)))
+        (h, p, step, times, e, x), (g, q, step2, times2, f, y) = rows
+        i, j = np.nonzero(h[:, None] == g[None, :])
+        if not 1 <= len(i) <= passages.HELD:
+            continue
+        hit = passages.may_reach(np.zeros(len(i), np.int64), (p[i], e[i], x[i]), (q[j], f[j], y[j]), 50, 0.8, passages.K)[0]
+        _, pb, pa = passages.matches((h, p, step, times), (g, q, step2, times2))
+        found = False
+        for c in passages.chains(pb, pa):
+            if c[-1][0] - c[0][0] + passages.K >= passages.LEAST_SPAN:
+                b0, b1, a0, a1, same = passages.align(c, *two)
+                length = max(b1 - b0, a1 - a0)
+                found |= min(b1 - b0, a1 - a0) >= 40 and length >= 50 and same >= 0.8 * length
+        assert hit or not found
+        decided += not hit
+    assert decided > 0
+
+
 def test_passages_of_odd_rows(spark):
     long = words(3_000, 5)
     rows = odd_rows() + [(20, long, "s"), (21, edited(long, 200), "s"), (21, edited(long, 200), "s"), (None, long, "s")]
