@@ -1,7 +1,9 @@
 """Near-duplicate classes and shared passages against brute force."""
 
 import math
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -337,6 +339,39 @@ def test_seeds_of_one_class_get_no_lists(spark, monkeypatch):
     assert kept["members"][0].count() > 0 and kept["members"][-1].count() == 0
 
 
+def test_disk_is_freed_as_passages_are_found(spark, monkeypatch):
+    """Shuffle files go with their job, and what was stored for a step goes with the step."""
+    whole, files = words(80, 63), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in (files.getAllFiles().apply(i).getName() for i in range(files.getAllFiles().size())) if f.startswith("shuffle_")}
+    kept, before, earlier = {}, passages.stored, shuffles()
+    monkeypatch.setattr(passages, "stored", lambda df, name: kept.setdefault(name, []).append(before(df, name)) or kept[name][-1])
+    out = passages.shared_passages(docs_frame(spark, [(i, f"{words(10, 5_500 + i)} {whole}", "s") for i in range(4)]))
+    for _ in range(50):
+        if not (left := shuffles() - earlier):
+            break
+        time.sleep(0.2)
+    assert not left
+    for name in ("seeds", "lists", "hot", "chains", "groups", "texts"):
+        assert kept[name] and not any(os.path.exists(df._stored_at.removeprefix("file:")) for df in kept[name])
+    assert out.count() == 12
+
+
+def test_a_line_far_from_its_repeat_reaches_no_passage():
+    """One word said 58 times, and 35 times twice with other words between: no 50 words match, though both have as many."""
+    hasher, rows = WordHasher(), []
+    for text in (f"{words(20, 1)} {'so ' * 58}{words(20, 2)}", f"{words(20, 3)} {'so ' * 35}{words(35, 4)} {'so ' * 35}{words(20, 5)}", f"{'so ' * 35}{words(400, 6)} {'so ' * 35}"):
+        w = hasher.hashes(text)
+        h, at = passages.seeds(w)
+        h, _, p, step, times = passages.runs(h, np.zeros(len(h), np.int64), at)
+        e = p + step * np.maximum(times - 1, 0)
+        rows.append((h, p, e, passages.beside_places(w, p, e, step, passages.K)))
+    h, p, e, x = rows[0]
+    for g, q, f, y in rows[1:]:
+        i, j = np.nonzero(h[:, None] == g[None, :])
+        assert len(i) > 1
+        assert not passages.may_reach(np.zeros(len(i), np.int64), (p[i], e[i], x[i]), (q[j], f[j], y[j]), 50, 0.8, passages.K)[0]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_passed_over_pairs_make_no_passage(seed):
     """``may_reach`` against chaining and aligning two texts, made of few lines and repeated words."""
